@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
+from .components import components
 from .runtime import norm_words, partitions, spread, written
 
 #: Words in a shingle and least Jaccard similarity of the given case; the general setting is five and 0.8.
@@ -69,19 +70,20 @@ def sketch(classes: DataFrame, width: int = WIDTH) -> np.ndarray:
     return out.reshape(-1)
 
 
-def postings(classes: DataFrame, freq: np.ndarray, width: int = WIDTH, similarity: str = SIMILARITY, fresh: bool = True, keep_rare: bool = False) -> DataFrame:
-    """Index entries of the sets' prefixes: shingle, class, (size, position, side, fresh) packed, bitmap.
+def postings(classes: DataFrame, freq: np.ndarray, width: int = WIDTH, similarity: str = SIMILARITY, fresh: bool = True, drop: np.ndarray | None = None) -> DataFrame:
+    """Index entries of the sets' prefixes: shingle, class, (size, position, cut, side, fresh) packed, bitmap.
 
-    keep_rare: also index shingles that the sketch has seen once at most; needed where sets that
-    the sketch has not counted are to be matched later. Lists that the sketch expects to be
-    longer than LIST_PART are cut into parts; an entry goes to every pair of parts with its own.
+    freq gives the order of the shingles; any sketch gives a right one, also of other sets. drop
+    marks the buckets whose shingles no second set has, which need no entry (default: none is
+    dropped). Lists that the sketch expects to be longer than LIST_PART are cut into parts; an
+    entry goes to every pair of parts with its own.
     """
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(freq)
+    shared = spark.sparkContext.broadcast((freq, drop))
     t = sh.Threshold(similarity)
 
     def index(batches):
-        freq = shared.value
+        freq, drop = shared.value
         # A list is cut only if it stands out of the sketch's noise, the usual load of a bucket.
         noise = 4 * float(sh.class_count(np.percentile(freq, 90)))
         for batch in batches:
@@ -98,8 +100,8 @@ def postings(classes: DataFrame, freq: np.ndarray, width: int = WIDTH, similarit
                 row, h, cls = row[order], h[order], cls[order]
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 take = pos < t.prefix(size)[row]
-                if not keep_rare:
-                    take &= cls > 0
+                if drop is not None:
+                    take &= ~drop[sh.bucket(h)]
                 row, h, cls, pos = row[take], h[take], cls[take], pos[take]
                 parts = np.maximum(1, np.ceil(sh.class_count(cls) / max(LIST_PART, noise))).astype(np.int64)
                 own = (ids[i : i + _SLICE][row].astype(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
@@ -110,7 +112,7 @@ def postings(classes: DataFrame, freq: np.ndarray, width: int = WIDTH, similarit
                 side = np.where(own == other, 0, np.where(own == low, 1, 2))
                 with np.errstate(over="ignore"):
                     key = np.where(parts > 1, sh.mix(h + (low * parts + high + 1).astype(np.uint64)), h)
-                meta = (size[row] << 32) | (pos << 8) | (side << 1) | int(fresh)
+                meta = (size[row] << 32) | (pos << 8) | ((parts > 1).astype(np.int64) << 3) | (side << 1) | int(fresh)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(ids[i : i + _SLICE][row]), pa.array(meta), payload.take(pa.array(row))],
                     names=["token", "cls", "meta", "bits"],
@@ -285,7 +287,21 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity:
 
 def class_links(texts: DataFrame, width: int = WIDTH, similarity: str = SIMILARITY) -> DataFrame:
     """Links between the classes of a written table (cls, words): every pair that reaches the threshold."""
-    return verified(candidates(postings(texts, sketch(texts, width), width, similarity), similarity), texts, width, similarity)
+    freq = sketch(texts, width)
+    entries = postings(texts, freq, width, similarity, drop=sh.alone(freq))
+    return verified(candidates(entries, similarity), texts, width, similarity)
+
+
+def entries_still_needed(entries: DataFrame, drop: np.ndarray) -> DataFrame:
+    """Stored entries without those of shingles that no second set has."""
+    shared = entries.sparkSession.sparkContext.broadcast(drop)
+
+    def keep(batches):
+        for batch in batches:
+            token, meta = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            yield batch.filter(pa.array(((meta >> 3) & 1).astype(bool) | ~shared.value[sh.bucket(token)]))
+
+    return entries.select("token", "cls", "meta", "bits").mapInArrow(keep, _POSTING)
 
 
 def members_of(chunks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -320,6 +336,24 @@ def chunk_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return every.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
+def groups(chunks: DataFrame, width: int = 5, similarity: str = "0.8", least_words: int = 5) -> DataFrame:
+    """One row per chunk with a text of enough words: chunk_id, its group, links of its class, copies.
+
+    Groups are the connected components of the links between classes; group_id is the smallest
+    class of the component. A chunk_id delivered with different texts has a row for each class.
+    """
+    texts = written(class_texts(chunks, least_words=least_words), "group-texts")
+    links = written(class_links(texts, width, similarity), "group-links")
+    members = members_of(chunks, least_words)
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
+    return (
+        members.join(components(links.select("a", "b")), F.col("cls") == F.col("node"), "left").drop("node")
+        .join(degree, "cls", "left").join(copies, "cls")
+        .select("chunk_id", "cls", F.coalesce("root", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    )
+
+
 def found_pairs(chunks: DataFrame) -> DataFrame:
     """Problem 7's cases: pairs of chunk ids whose three-word shingle sets reach a Jaccard of 0.6."""
     texts = written(class_texts(chunks), "near-texts")

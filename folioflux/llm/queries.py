@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, leakage, near_duplicates, token_budget
+from . import bpe, incremental, leakage, near_duplicates, token_budget
 from .runtime import table
 
 #: The 29 white-space characters as DuckDB's regex engine writes them. Fixed value.
@@ -17,6 +17,18 @@ def p1_totals(spark, d):
     return token_budget.totals(table(spark, d, "chunks"))
 
 
+def p4_found(spark, d):
+    return incremental.found_rows(table(spark, d, "chunks"))
+
+
+def p4_links(spark, d):
+    return incremental.scored_links(table(spark, d, "chunks"))
+
+
+def p7_groups(spark, d):
+    return near_duplicates.groups(table(spark, d, "chunks"))
+
+
 def p7_found(spark, d):
     return near_duplicates.found_pairs(table(spark, d, "chunks"))
 
@@ -32,7 +44,10 @@ def p9_found(spark, d):
 QUERIES = {
     "p1_found": p1_found,
     "p1_totals": p1_totals,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
     "p7_found": p7_found,
+    "p7_groups": p7_groups,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
 }

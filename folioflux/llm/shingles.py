@@ -72,13 +72,18 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 
 def frequency_class(counts: np.ndarray) -> np.ndarray:
-    """0: in one set at most; else 1 and up, eight classes for each doubling."""
-    return np.where(counts <= 1, 0, 1 + np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    """0: in no set; 1: in one; then eight classes for each doubling."""
+    return np.where(counts < 1, 0, 1 + np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
 def class_count(cls: np.ndarray) -> np.ndarray:
     """Upper bound of the counts of a class."""
-    return np.where(cls == 0, 1.0, 2.0 ** (cls.astype(np.float64) / 8))
+    return 2.0 ** (cls.astype(np.float64) / 8)
+
+
+def alone(freq: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Buckets that one set at most has, by one sketch or by two over different sets."""
+    return freq <= 1 if more is None else (freq <= 1) & (more <= 1) & ((freq == 0) | (more == 0))
 
 
 def bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> list[bytes]:
