@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, incremental, leakage, near_duplicates, token_budget
+from . import bpe, incremental, leakage, near_duplicates, token_budget, vector_neighbors
 from .runtime import table
 
 #: The 29 white-space characters as DuckDB's regex engine writes them. Fixed value.
@@ -17,6 +17,10 @@ def p1_totals(spark, d):
     return token_budget.totals(table(spark, d, "chunks"))
 
 
+def p2_found(spark, d):
+    return vector_neighbors.found_pairs(table(spark, d, "vectors"))
+
+
 def p4_found(spark, d):
     return incremental.found_rows(table(spark, d, "chunks"))
 
@@ -44,6 +48,7 @@ def p9_found(spark, d):
 QUERIES = {
     "p1_found": p1_found,
     "p1_totals": p1_totals,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p7_found": p7_found,
