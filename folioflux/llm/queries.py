@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, incremental, leakage, near_duplicates, token_budget, vector_neighbors
+from . import bpe, incremental, leakage, near_duplicates, spam_pages, token_budget, vector_neighbors
 from .runtime import table
 
 #: The 29 white-space characters as DuckDB's regex engine writes them. Fixed value.
@@ -45,6 +45,10 @@ def p9_found(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p10_found(spark, d):
+    return spam_pages.found(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_totals": p1_totals,
@@ -55,6 +59,7 @@ QUERIES = {
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
 }
 
 ORACLES = {
