@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, incremental, leakage, near_duplicates, spam_pages, token_budget, vector_neighbors
+from . import bpe, incremental, leakage, near_duplicates, spam_pages, splitting, token_budget, vector_neighbors
 from .runtime import table
 
 #: The 29 white-space characters as DuckDB's regex engine writes them. Fixed value.
@@ -29,6 +29,14 @@ def p4_links(spark, d):
     return incremental.scored_links(table(spark, d, "chunks"))
 
 
+def p6_found(spark, d):
+    return splitting.found(table(spark, d, "segments"), table(spark, d, "rules"))
+
+
+def p6_pieces(spark, d):
+    return splitting.split_oversized(table(spark, d, "segments"), table(spark, d, "rules"))
+
+
 def p7_groups(spark, d):
     return near_duplicates.groups(table(spark, d, "chunks"))
 
@@ -55,6 +63,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_links": p4_links,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
