@@ -17,19 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import shingles as sh
 from .components import merged
 from .near_duplicates import LEAST_WORDS, SIMILARITY, WIDTH, candidates, entries_still_needed, postings, sketch, verified
-from .runtime import new_path, norm_words, spread
+from .runtime import new_path, with_words
 
 _NONE = "cls long, words string, first_batch int"
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """(chunk_id, batch_id, words): words null where the text is null or has too few of them."""
-    words = norm_words(F.col("text"))
-    n = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
-    rows = spread(rows.select("chunk_id", "batch_id", "text")).select("chunk_id", "batch_id", words.alias("words"))
-    return rows.withColumn("words", F.when((n >= LEAST_WORDS) & (F.col("words") != ""), F.col("words")))
-
-
 class History:
     """What is kept of the batches that have been admitted.
 
@@ -53,20 +45,19 @@ class History:
 
     texts = property(lambda self: self._read("texts", "cls long, words string, first_batch int"))
     keys = property(lambda self: self._read("keys", "token long, cls long, meta long, bits binary"))
-    chunk_ids = property(lambda self: self._read("chunk_ids", "chunk_id string, first_batch int"))
+    rows = property(lambda self: self._read("rows", "chunk_id string, batch_id int, cls long"))
     links = property(lambda self: self._read("links", "a long, b long, common int, size_a int, size_b int"))
 
     def admit(self, rows: DataFrame) -> None:
         """Take in rows (chunk_id, batch_id, text): write their keys, texts, first batches and links."""
-        rows = keyed(rows.where(F.col("batch_id").isNotNull()))
-        fresh = rows.where(F.col("words").isNotNull()).groupBy("words").agg(F.min("batch_id").alias("first_batch"))
-        fresh = fresh.select(F.xxhash64("words").alias("cls"), "words", "first_batch")
+        rows = rows.where(F.col("batch_id").isNotNull()).select("chunk_id", "batch_id", "text")
+        self._write(with_words(rows, LEAST_WORDS).select("chunk_id", "batch_id", "cls").where("chunk_id is not null").distinct(), "rows")
+        fresh = with_words(rows.select("batch_id", "text").where("text is not null"), LEAST_WORDS).where("cls is not null")
+        fresh = fresh.groupBy("cls", "words").agg(F.min("batch_id").alias("first_batch"))
         if self.parts:
             fresh = fresh.join(self.texts.select("cls"), "cls", "left_anti")
         self._write(fresh, "texts")
         fresh = self.spark.read.schema(_NONE).parquet(f"{self.path}/texts/{self.parts}")
-        ids = rows.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min("batch_id").alias("first_batch"))
-        self._write(ids, "chunk_ids")
         seen = sketch(fresh, WIDTH)
         first = self.order is None
         if first:
@@ -83,18 +74,17 @@ class History:
             pairs = candidates(old.unionByName(new), SIMILARITY, all_fresh=False)
             texts = self.texts.unionByName(fresh).select("cls", "words")
             self._write(verified(pairs, texts, WIDTH, SIMILARITY), "links")
-        with np.errstate(over="ignore"):
-            self.counted = sh.frequency_class(np.floor(_count(self.counted) + _count(seen)))
+        self.counted = sh.frequency_class(sh.class_least(self.counted) + sh.class_least(seen))
         self.parts += 1
 
-    def repetitions(self, rows: DataFrame) -> DataFrame:
-        """(batch_id, chunk_id) of admitted rows whose chunk_id or a text like theirs came in an earlier batch."""
-        first_id = self.chunk_ids.groupBy("chunk_id").agg(F.min("first_batch").alias("first_id"))
+    def repetitions(self) -> DataFrame:
+        """(batch_id, chunk_id) of the last delivery's rows whose chunk_id or a text like theirs came in an earlier batch."""
+        first_id = self.rows.groupBy("chunk_id").agg(F.min("batch_id").alias("first_id"))
         first = self.texts.select("cls", "first_batch")
         ends = self.links.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("other")), F.struct(F.col("b").alias("cls"), F.col("a").alias("other")))).alias("e")).select("e.*")
         linked = ends.join(first.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("first_batch").alias("first_batch"))
         first_like = first.unionByName(linked).groupBy("cls").agg(F.min("first_batch").alias("first_like"))
-        mine = keyed(rows.where(F.col("chunk_id").isNotNull())).select("chunk_id", "batch_id", F.when(F.col("words").isNotNull(), F.xxhash64("words")).alias("cls")).distinct()
+        mine = self.spark.read.schema("chunk_id string, batch_id int, cls long").parquet(f"{self.path}/rows/{self.parts - 1}")
         late = mine.join(first_id, "chunk_id", "left").join(first_like, "cls", "left").where("first_id < batch_id or first_like < batch_id")
         return late.select("batch_id", "chunk_id").distinct()
 
@@ -104,18 +94,12 @@ class History:
         return merged(mapping if mapping is not None else self.spark.createDataFrame([], "node long, root long"), last)
 
 
-def _count(cls: np.ndarray) -> np.ndarray:
-    """A count that falls into a class (the least one)."""
-    return np.where(cls == 0, 0.0, np.ceil(2.0 ** ((cls.astype(np.float64) - 1) / 8) - 1e-9))
-
-
 def found_rows(chunks: DataFrame) -> DataFrame:
     """Problem 4's cases: batch 0 is the history, the later batches are probed against it and each other in order."""
     history = History(chunks.sparkSession)
     history.admit(chunks.where("batch_id = 0"))
-    later = chunks.where("batch_id > 0")
-    history.admit(later)
-    return history.repetitions(later)
+    history.admit(chunks.where("batch_id > 0"))
+    return history.repetitions()
 
 
 def match_weights(patterns: list[tuple[tuple, int]], rounds: int = 50) -> list[dict]:
@@ -158,8 +142,8 @@ def scored_links(chunks: DataFrame) -> DataFrame:
     history = History(chunks.sparkSession)
     history.admit(chunks.where("batch_id = 0"))
     history.admit(chunks.where("batch_id > 0"))
-    words = norm_words(F.col("text"))
-    rows = chunks.where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()).select("chunk_id", "batch_id", "doc_id", F.xxhash64(words).alias("cls"), F.size(F.split(words, " ")).alias("n")).distinct()
+    rows = with_words(chunks.where("chunk_id is not null and text is not null").select("chunk_id", "batch_id", "doc_id", "text"), LEAST_WORDS)
+    rows = rows.where("cls is not null").select("chunk_id", "batch_id", "doc_id", "cls", F.size(F.split("words", " ")).alias("n")).distinct()
     heads = rows.groupBy("cls").agg(F.min(F.struct("batch_id", "chunk_id", "doc_id", "n")).alias("e"))
     ends = history.links.select("a", "b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
     ends = ends.select("a", "b", "jaccard").unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))

@@ -14,13 +14,15 @@ Texts with the same words are one class and enter the join once, however many co
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
 from .components import components
-from .runtime import norm_words, partitions, spread, written
+from .runtime import partitions, with_words, written
 
 #: Words in a shingle and least Jaccard similarity of the given case; the general setting is five and 0.8.
 WIDTH, SIMILARITY, LEAST_WORDS = 3, "0.6", 8
@@ -32,20 +34,15 @@ _SLICE, _PAIRS, _BLOCK = 2000, 1 << 21, 64
 _POSTING = "token long, cls long, meta long, bits binary"
 
 
-def text_class(text) -> F.Column:
-    """Class of a text: texts with the same sequence of words are one class."""
-    return F.xxhash64(norm_words(text))
-
-
 def class_texts(df: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(cls, words) of the distinct texts of at least so many words; null texts are left out."""
-    words = spread(df.select(text)).select(norm_words(F.col(text)).alias("words"))
-    enough = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= least_words - 1
-    return words.where(enough & (F.length("words") > 0)).distinct().select(F.xxhash64("words").alias("cls"), "words")
+    return with_words(df.select(text), least_words, text).where(F.col("cls").isNotNull()).distinct()
 
 
 def sketch(classes: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """Frequency class of every bucket of shingles, counted over all sets; 2 MB whatever the corpus."""
+    """Frequency class of every bucket of shingles, counted over all sets; 2 MB whatever the corpus.
+
+    A task sends its counts as classes, which are exact up to 7 and within a tenth beyond."""
     blocks = (1 << sh.SKETCH_BITS) // sh.SKETCH_BLOCK
 
     def count(batches):
@@ -54,13 +51,11 @@ def sketch(classes: DataFrame, width: int = WIDTH) -> np.ndarray:
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), _SLICE):
                 total += np.bincount(sh.bucket(sh.shingle_sets(texts[i : i + _SLICE], width)[1]), minlength=len(total))
-        parts = np.minimum(total, 65535).astype(np.uint16).reshape(blocks, -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(blocks, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "counts"]
-        )
+        parts = [zlib.compress(x.tobytes(), 1) for x in sh.frequency_class(total).reshape(blocks, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(parts, pa.binary())], names=["block", "counts"])
 
     def add(key, rows):
-        total = sum((np.frombuffer(x, np.uint16).astype(np.int64) for x in rows["counts"]), np.zeros(sh.SKETCH_BLOCK, np.int64))
+        total = sum((sh.class_least(np.frombuffer(zlib.decompress(x), np.uint8)) for x in rows["counts"]), np.zeros(sh.SKETCH_BLOCK, np.int64))
         return rows.head(1).assign(counts=[sh.frequency_class(total).tobytes()])
 
     rows = classes.select("words").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
@@ -306,10 +301,8 @@ def entries_still_needed(entries: DataFrame, drop: np.ndarray) -> DataFrame:
 
 def members_of(chunks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(chunk_id, cls) of chunks whose text has enough words, repeated rows once."""
-    rows = chunks.where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
-    words = rows.select("chunk_id", norm_words(F.col("text")).alias("words"))
-    enough = (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= least_words - 1) & (F.length("words") > 0)
-    return words.where(enough).select("chunk_id", F.xxhash64("words").alias("cls")).distinct()
+    rows = chunks.where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()).select("chunk_id", "text")
+    return with_words(rows, least_words).where(F.col("cls").isNotNull()).select("chunk_id", "cls").distinct()
 
 
 def chunk_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,7 +337,7 @@ def groups(chunks: DataFrame, width: int = 5, similarity: str = "0.8", least_wor
     """
     texts = written(class_texts(chunks, least_words=least_words), "group-texts")
     links = written(class_links(texts, width, similarity), "group-links")
-    members = members_of(chunks, least_words)
+    members = written(members_of(chunks, least_words), "group-members")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
     return (
@@ -358,4 +351,4 @@ def found_pairs(chunks: DataFrame) -> DataFrame:
     """Problem 7's cases: pairs of chunk ids whose three-word shingle sets reach a Jaccard of 0.6."""
     texts = written(class_texts(chunks), "near-texts")
     links = written(class_links(texts), "near-links")
-    return chunk_pairs(members_of(chunks), links)
+    return chunk_pairs(written(members_of(chunks), "near-members"), links)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: A word is a longest run of Unicode letters and digits in the lower-cased text.
+_WORD = re.compile(r"[^\W_]+")
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Where the public vocabulary files lie; every operator takes a path of its own instead.
 TOKENIZERS = "/opt/tokenizers"
@@ -52,6 +56,29 @@ def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_words(df: DataFrame, least: int, text: str = "text") -> DataFrame:
+    """df with cls and words in place of a text: words are the text's lower-cased words between single
+    spaces, cls a hash of them; both null where the text is null or has fewer than so many words."""
+    keep = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("cls", T.LongType()), T.StructField("words", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            cls, words = [], []
+            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                own = _WORD.findall(t.lower()) if t else ()
+                if len(own) >= max(1, least):
+                    w = " ".join(own)
+                    words.append(w)
+                    cls.append(xxhash.xxh64_intdigest(w) - (1 << 63))
+                else:
+                    words.append(None)
+                    cls.append(None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(cls, pa.int64()), pa.array(words, pa.string())], names=[*keep, "cls", "words"])
+
+    return spread(df.select(*keep, text)).mapInArrow(run, schema)
+
+
 def norm_words(text) -> F.Column:
     """Lower-cased words of a text joined by single spaces ('' for a text without words)."""
     return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))

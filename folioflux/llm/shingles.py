@@ -81,6 +81,11 @@ def class_count(cls: np.ndarray) -> np.ndarray:
     return 2.0 ** (cls.astype(np.float64) / 8)
 
 
+def class_least(cls: np.ndarray) -> np.ndarray:
+    """The least count of a class; up to 7 the only one."""
+    return np.where(cls == 0, 0, np.ceil(2.0 ** ((cls.astype(np.float64) - 1) / 8) - 1e-9)).astype(np.int64)
+
+
 def alone(freq: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     """Buckets that one set at most has, by one sketch or by two over different sets."""
     return freq <= 1 if more is None else (freq <= 1) & (more <= 1) & ((freq == 0) | (more == 0))
