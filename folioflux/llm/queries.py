@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, incremental, leakage, near_duplicates, spam_pages, splitting, token_budget, vector_neighbors
+from . import bpe, email_new_text, incremental, leakage, near_duplicates, spam_pages, splitting, token_budget, vector_neighbors
 from .runtime import table
 
 #: The 29 white-space characters as DuckDB's regex engine writes them. Fixed value.
@@ -29,6 +29,14 @@ def p4_links(spark, d):
     return incremental.scored_links(table(spark, d, "chunks"))
 
 
+def p5_found(spark, d):
+    return email_new_text.found(table(spark, d, "segments"))
+
+
+def p5_new_text(spark, d):
+    return email_new_text.new_text(table(spark, d, "segments"))
+
+
 def p6_found(spark, d):
     return splitting.found(table(spark, d, "segments"), table(spark, d, "rules"))
 
@@ -63,6 +71,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_links": p4_links,
+    "p5_found": p5_found,
+    "p5_new_text": p5_new_text,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
