@@ -14,7 +14,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import shingles as sh
+from . import membership, shingles as sh
 from .components import merged
 from .near_duplicates import LEAST_WORDS, SIMILARITY, WIDTH, candidates, entries_still_needed, postings, sketch, verified
 from .runtime import new_path, with_words
@@ -55,7 +55,10 @@ class History:
         fresh = with_words(rows.select("batch_id", "text").where("text is not null"), LEAST_WORDS).where("cls is not null")
         fresh = fresh.groupBy("cls", "words").agg(F.min("batch_id").alias("first_batch"))
         if self.parts:
-            fresh = fresh.join(self.texts.select("cls"), "cls", "left_anti")
+            # Most classes are surely new; only the others are compared with the history by a join.
+            known = membership.of(self.texts.select("cls"))
+            maybe = membership.split(fresh, known).join(self.texts.select("cls"), "cls", "left_anti")
+            fresh = membership.split(fresh, known, maybe=False).unionByName(maybe)
         self._write(fresh, "texts")
         fresh = self.spark.read.schema(_NONE).parquet(f"{self.path}/texts/{self.parts}")
         seen = sketch(fresh, WIDTH)

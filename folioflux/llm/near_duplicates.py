@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import shingles as sh
+from . import membership, shingles as sh
 from .components import components
 from .runtime import partitions, with_words, written
 
@@ -237,8 +237,10 @@ def candidates(entries: DataFrame, similarity: str = SIMILARITY, all_fresh: bool
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: str = SIMILARITY) -> DataFrame:
     """(a, b, common, size_a, size_b) of the pairs that reach the threshold, counted on the texts (cls, words)."""
     t = sh.Threshold(similarity)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = texts.join(needed, "cls", "left_semi")
+    pairs = written(pairs, "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    # Texts of no candidate stay where they are; the join below is exact whatever the map lets pass.
+    texts = membership.split(texts.select("cls", "words"), membership.of(needed))
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("words").alias("words_a")), "a").join(
         texts.select(F.col("cls").alias("b"), F.col("words").alias("words_b")), "b"
     )
