@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, email_new_text, incremental, leakage, near_duplicates, spam_pages, splitting, token_budget, vector_neighbors
+from . import bpe, email_new_text, incremental, leakage, near_duplicates, privacy, spam_pages, splitting, token_budget, vector_neighbors
 from .runtime import table
 
 #: The 29 white-space characters as DuckDB's regex engine writes them. Fixed value.
@@ -21,6 +21,14 @@ def p2_found(spark, d):
     return vector_neighbors.found_pairs(table(spark, d, "vectors"))
 
 
+def p3_found(spark, d):
+    return privacy.detected(privacy.records(table(spark, d, "segments"), table(spark, d, "chunks")), table(spark, d, "name_parts"))
+
+
+def p3_redacted(spark, d):
+    return privacy.redacted(privacy.records(table(spark, d, "segments"), table(spark, d, "chunks")), table(spark, d, "name_parts"), b"folioflux")
+
+
 def p4_found(spark, d):
     return incremental.found_rows(table(spark, d, "chunks"))
 
@@ -69,6 +77,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_totals": p1_totals,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p5_found": p5_found,
