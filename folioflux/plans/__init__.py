@@ -1 +1 @@
-"""."""
+"""Whole pipelines: build, retrieve, ask."""
