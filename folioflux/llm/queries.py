@@ -92,9 +92,48 @@ QUERIES = {
     "p10_found": p10_found,
 }
 
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_NEAR = f"""w AS (SELECT DISTINCT chunk_id, {_WORDS} AS w FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+    t AS (SELECT chunk_id, w, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 8),
+    n AS (SELECT row_number() OVER () AS k, chunk_id, s, len(s) AS size FROM t),
+    u AS (SELECT k, unnest(s) AS g FROM n),
+    c AS (SELECT x.k AS a, y.k AS b, count(*) AS common FROM u AS x JOIN u AS y ON x.g = y.g AND x.k < y.k GROUP BY ALL),
+    p AS (SELECT DISTINCT least(m.chunk_id, o.chunk_id) AS chunk_id_a, greatest(m.chunk_id, o.chunk_id) AS chunk_id_b
+          FROM c JOIN n AS m ON m.k = c.a JOIN n AS o ON o.k = c.b WHERE m.chunk_id <> o.chunk_id AND 5 * common >= 3 * (m.size + o.size - common))"""
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS_SQL}+|{WS_SQL}+$', '', 'g')"
+
+
+def _tokens(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '{WS_SQL}+'), lambda t: t <> ''))"
+
+
 ORACLES = {
-    "p1_found": rf"""
-        SELECT DISTINCT chunk_id FROM chunks
-        WHERE text IS NOT NULL AND token_count IS DISTINCT FROM
-              len(list_filter(regexp_split_to_array(text, '{WS_SQL}+'), lambda x: x <> ''))""",
+    "p1_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE text IS NOT NULL AND token_count IS DISTINCT FROM {_tokens('text')}",
+    "p2_found": """
+        WITH v AS (SELECT DISTINCT vec_pos, embedding::DOUBLE[] AS e FROM vectors WHERE len(embedding) = 64
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        d AS (SELECT a.vec_pos AS a, b.vec_pos AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v AS a, v AS b WHERE a.vec_pos <> b.vec_pos),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d)
+        SELECT DISTINCT least(a, b) AS vec_pos_a, greatest(a, b) AS vec_pos_b FROM r WHERE r <= 10 AND d <= 0.2""",
+    "p4_found": f"""
+        WITH {_NEAR}, r AS (SELECT DISTINCT batch_id, chunk_id FROM chunks WHERE chunk_id IS NOT NULL),
+        l AS (SELECT chunk_id_a AS x, chunk_id_b AS y FROM p UNION ALL SELECT chunk_id_b, chunk_id_a FROM p UNION ALL SELECT chunk_id, chunk_id FROM r)
+        SELECT DISTINCT r.batch_id, r.chunk_id FROM r JOIN l ON l.x = r.chunk_id JOIN r AS q ON q.chunk_id = l.y AND q.batch_id < r.batch_id""",
+    "p6_found": f"""
+        WITH s AS (SELECT DISTINCT ord, content, coalesce(r.strategy, f.strategy) AS strategy, coalesce(r.max_tokens, f.max_tokens) AS most
+                   FROM segments AS s LEFT JOIN rules AS r ON r.doc_type = s.meta.doc_type, (SELECT * FROM rules WHERE doc_type = 'default') AS f WHERE content IS NOT NULL),
+        c AS (SELECT ord, most, CASE strategy WHEN 'by_paragraph' THEN regexp_split_to_array(content, '\\n{WS_SQL}*\\n') WHEN 'by_slide' THEN string_split(content, chr(10) || '---' || chr(10))
+              WHEN 'split_on_sheets' THEN [content] WHEN 'blank_line' THEN string_split(content, chr(10) || chr(10)) ELSE string_split(content, chr(10)) END AS parts FROM s),
+        i AS (SELECT ord, most, list_filter(list_transform(parts, lambda x: {_strip('x')}), lambda x: x <> '') AS items FROM c),
+        n AS (SELECT ord, most, unnest(range(len(items)))::INT AS item_no, unnest(items) AS item FROM i)
+        SELECT DISTINCT ord, item_no FROM n WHERE {_tokens('item')} > most""",
+    "p7_found": f"WITH {_NEAR} SELECT * FROM p",
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+        x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d),
+        y AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM e)
+        SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)""",
 }
