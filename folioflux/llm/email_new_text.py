@@ -3,20 +3,22 @@
 A mail is cut into blocks: at blank lines, where quoting begins or ends, and before lines that
 look like the start of something (a line that introduces an earlier message, a header, a
 signature delimiter, a closing phrase). Gradient-boosted trees classify the blocks by structure,
-quote depth, contact density, how often the block comes in other mails (a sender's signature does)
-and whether it stands unquoted in another mail (an earlier message does). The trees are fitted by
-fit() on a bounded sample labelled by cautious rules and lie beside this module.
+quote depth, contact density, how often the block comes in mails, and in those of the same sender (a
+signature does), and whether it stands unquoted and nearer the start in another mail (an earlier
+message does). The trees are fitted by fit() on a bounded sample labelled by cautious rules, varied
+so that the labels outlast the marks that gave them, and lie beside this module.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import gbt
 from .runtime import spread
@@ -55,11 +57,12 @@ _DISCLAIMER = re.compile(
     re.IGNORECASE,
 )
 _CONTACT = re.compile(r"[\w.+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+|https?://|www\.|\+?\d[\d\s()./-]{6,}\d|^(?:t|tel|e|m|mail|mobile|phone|fax|ext)\b\.?:?", re.IGNORECASE)
+_ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _SPACES = re.compile(r"\W+")
 
 FEATURES = (
     "quoted", "depth", "intro", "headers", "rule", "delimiter", "closing", "open", "signed", "contacts", "words_line", "lines",
-    "capitals", "sentence", "device", "disclaimer", "from_end", "from_start", "common", "ancestor",
+    "capitals", "sentence", "device", "disclaimer", "from_end", "from_start", "common", "ancestor", "sender",
 )
 
 
@@ -137,7 +140,7 @@ def blocks(content: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """Structure and contact features of a mail's blocks; the last two columns are left for the counts over all mails."""
+    """Structure and contact features of a mail's blocks; the last three columns are left for the counts over all mails."""
     rows = []
     for k, b in enumerate(found):
         words = [w for t in b.texts for w in t.split()]
@@ -146,7 +149,7 @@ def features(found: list[Block]) -> np.ndarray:
                 b.quoted, b.depth, b.kind == "intro", sum(bool(_HEADER.match(t)) for t in b.texts), b.kind == "rule", b.kind == "delimiter", b.kind == "closing", b.open, b.signed,
                 sum(bool(_CONTACT.search(t)) for t in b.texts) / len(b.texts), len(words) / len(b.texts), len(b.texts),
                 sum(w[:1].isupper() for w in words) / max(1, len(words)), sum(t.endswith((".", "!", "?")) for t in b.texts) / len(b.texts),
-                b.kind == "device" or bool(_DEVICE.search(b.texts[0])), b.kind == "disclaimer" or bool(_DISCLAIMER.search(b.texts[0])), min(20, len(found) - k), min(20, k), 0.0, 0.0,
+                b.kind == "device" or bool(_DEVICE.search(b.texts[0])), b.kind == "disclaimer" or bool(_DISCLAIMER.search(b.texts[0])), min(20, len(found) - k), min(20, k), 0.0, 0.0, 0.0,
             )
         )
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
@@ -158,6 +161,16 @@ def block_hash(b: Block) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def sender_key(found: list[Block]) -> int | None:
+    """Hash of who wrote a mail: the last address outside of earlier messages, else the name below the closing phrase or delimiter."""
+    own = [b for b in found if not (b.quoted or b.open) and b.kind not in ("intro", "header", "rule", "disclaimer")]
+    who = [a for b in own for t in b.texts for a in _ADDRESS.findall(t)][-1:]
+    if not who:
+        below = [t for b in own if b.signed or b.kind in ("closing", "delimiter") for t in b.texts[b.kind in ("closing", "delimiter") :]]
+        who = [t for t in below if 2 <= len(t.split()) <= 4 and not _CLOSING.match(t) and not _CONTACT.search(t)][:1]
+    return xxhash.xxh64_intdigest(" ".join(sorted(_SPACES.sub(" ", who[0].lower()).split()))) - (1 << 63) if who else None
+
+
 def sure_label(f) -> int:
     """1 for a block that rules hold to be not newly written; for fitting only."""
     v = dict(zip(FEATURES, f))
@@ -170,33 +183,38 @@ def mails(segments: DataFrame) -> DataFrame:
 
 
 def block_rows(segments: DataFrame) -> DataFrame:
-    """One row a block: (ord, mail, block_no, lines, texts, h, quoted, f)."""
+    """One row a block: (ord, mail, sender, block_no, lines, texts, h, quoted, f)."""
 
     def cut(batches):
         for batch in batches:
             out = []
             for ord_, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = blocks(content)
-                key = xxhash.xxh64_intdigest(content.encode("utf-8", "replace")) - (1 << 63)
+                # A mail that comes again with other line ends or spaces is no other mail.
+                key = xxhash.xxh64_intdigest(" ".join(content.split()).encode("utf-8", "replace")) - (1 << 63)
+                who = sender_key(found)
                 for k, (b, f) in enumerate(zip(found, features(found).tolist())):
-                    out.append((ord_, key, k, b.lines, b.texts, block_hash(b), b.quoted, f))
-            cols = list(zip(*out)) or [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["ord", "mail", "block_no", "lines", "texts", "h", "quoted", "f"])
+                    out.append((ord_, key, who, k, b.lines, b.texts, block_hash(b), b.quoted, f))
+            cols = list(zip(*out)) or [[]] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["ord", "mail", "sender", "block_no", "lines", "texts", "h", "quoted", "f"])
 
-    schema = "ord long, mail long, block_no int, lines array<int>, texts array<string>, h long, quoted boolean, f array<double>"
+    schema = "ord long, mail long, sender long, block_no int, lines array<int>, texts array<string>, h long, quoted boolean, f array<double>"
     return spread(mails(segments)).mapInArrow(cut, schema)
 
 
 def with_counts(rows: DataFrame) -> DataFrame:
-    """Blocks with the number of other mails that have the block, and whether one has it unquoted."""
-    once = rows.groupBy("h", "mail").agg(F.min("quoted").alias("all_quoted"))
-    counts = once.groupBy("h").agg(F.count("*").alias("mails"), F.sum((~F.col("all_quoted")).cast("int")).alias("unquoted"))
-    both = rows.join(counts, "h")
-    common = F.log2(F.col("mails").cast("double"))
-    ancestor = ((F.col("unquoted") - (~F.col("quoted")).cast("int")) > 0).cast("double")
+    """Blocks with the number of mails, and of the sender's mails, that have the block, and whether another mail has it unquoted nearer its start."""
+    once = rows.groupBy("h", "mail").agg(F.first("sender").alias("sender"), F.min(F.when(~F.col("quoted"), F.col("block_no"))).alias("at"))
+    # The first two mails by place: the first that isn't the block's own mail decides.
+    two = F.row_number().over(Window.partitionBy("h").orderBy(F.col("at").asc_nulls_last(), "mail"))
+    early = once.where("at is not null").select("h", "mail", "at", two.alias("r")).where("r <= 2").groupBy("h").agg(F.collect_list(F.struct("mail", "at")).alias("early"))
+    by = once.where("sender is not null").groupBy("h", "sender").agg(F.count("*").alias("same"))
+    both = rows.join(once.groupBy("h").agg(F.count("*").alias("mails")), "h").join(early, "h", "left").join(by, ["h", "sender"], "left")
+    common, sender = F.log2(F.col("mails").cast("double")), F.log2(F.coalesce("same", F.lit(1)).cast("double"))
+    ancestor = F.coalesce(F.exists("early", lambda e: (e["mail"] != F.col("mail")) & (e["at"] < F.col("block_no"))), F.lit(False)).cast("double")
     n = len(FEATURES)
-    return both.withColumn("f", F.concat(F.slice("f", 1, n - 2), F.array(common, ancestor))).drop("mails", "unquoted")
+    return both.withColumn("f", F.concat(F.slice("f", 1, n - 3), F.array(common, ancestor, sender))).drop("mails", "early", "same")
 
 
 def classified(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:
@@ -225,9 +243,106 @@ def new_text(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:
     return joined.select("ord", F.array_join(F.transform("b", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def _joined(parts: list[tuple[list[str], int, Block]]) -> tuple[str, list[int | None]]:
+    lines, labels = [], []
+    for part, y, _ in parts:
+        lines += [*([""] if lines else []), *part]
+        labels += [*([None] if labels else []), *[y] * len(part)]
+    return "\n".join(lines), labels
+
+
+def varied(content: str, kind: int, rng: random.Random, notes: list[list[str]], shared: list[str]) -> list[tuple[str, list[int | None]]]:
+    """Mails made of one whose blocks have sure labels, as (content, label by line; None where there is none).
+
+    kind 0: as it is. 1: the signature without closing phrase and delimiter, where it holds contacts.
+    2: a note or disclaimer instead of the signature, at the end or below a quotation. 3: short new
+    lines without a full stop, of the mail or of many. 4: both. 5: a quotation without its marks, and
+    the message quoted. 6: three mails of one sender, with the name apart from the contacts.
+    7: the mail, and the same with other blocks before it and between.
+    """
+    found = blocks(content)
+    f = features(found)
+    raw = [x.rstrip("\r") for x in content.split("\n")]
+    if kind == 5:
+        quoted = [b for b in found if b.quoted and b.depth == 1]
+        if quoted and not any(b.open for b in found):
+            text = "\n\n".join("\n".join(b.texts) for b in quoted)
+            own = [(b, sure_label(g)) for b, g in zip(found, f) if not b.quoted and b.kind != "intro"]
+            new, old = ["\n".join(b.texts) for b, y in own if not y], ["\n".join(b.texts) for b, y in own if y]
+            first = blocks(text)
+            marks = {i: sure_label(g) for b, g in zip(first, features(first)) for i in b.lines}
+            lines, labels = [], []
+            for t, y in [*((t, 0) for t in new), *((t, 1) for t in ["\n".join(b.texts) for b in quoted]), *((t, 1) for t in old)]:
+                part = t.split("\n")
+                lines += [*part, ""]
+                labels += [*[y] * len(part), None]
+            return [("\n".join(lines), labels), (text, [marks.get(i + 1) for i in range(len(text.split("\n")))])]
+    parts = [([raw[i - 1] for i in b.lines], sure_label(g), b) for b, g in zip(found, f)]
+    top = lambda b: not b.quoted and not b.open
+    cue = lambda b: top(b) and b.kind in ("closing", "delimiter")
+    if kind == 1 and any(_CONTACT.search(t) for b in found if top(b) and (b.signed or cue(b)) for t in b.texts):
+        out = []
+        for lines, y, b in parts:
+            lines = lines[1:] if cue(b) else lines
+            if out and top(b) and top(out[-1][2]) and (b.signed or cue(b)) and (out[-1][2].signed or cue(out[-1][2])):
+                out[-1] = (out[-1][0] + lines, y, out[-1][2])  # one block again
+            else:
+                out.append((lines, y, b))
+        parts = [x for x in out if x[0]]
+    if kind == 6:
+        under = [t for b in found if top(b) and (b.signed or cue(b)) and b.kind not in ("device", "disclaimer") for t in b.texts[cue(b) :]]
+        if len(under) > 1 and any(_ADDRESS.search(t) for t in under[1:]) and not _CONTACT.search(under[0]):
+            body = [t for x in parts if not x[1] for t in re.split(r"(?<=[.!?])\s+", " ".join(x[0]))]
+            made = []
+            for k in range(3):
+                own = [*body[k::3], *rng.sample(shared, 1)] if shared else body[k::3]
+                lines = [x for t in [*own, under[0], "\n".join(under[1:])] for x in (*t.split("\n"), "")]
+                made.append(("\n".join(lines), [None if not x else int(i >= 2 * len(own)) for i, x in enumerate(lines)]))
+            return made
+    if kind == 7 and shared:
+        again = list(parts)
+        for _ in range(2):
+            free = [0, *(i + 1 for i, x in enumerate(again) if not x[1] or x[2].quoted and (i + 1 == len(again) or not again[i + 1][2].quoted))]
+            again.insert(rng.choice(free), ([rng.choice(shared)], 0, Block(0, "", 0)))
+        return [_joined(parts), _joined(again)]
+    if kind in (2, 3, 4):
+        if kind != 3 or rng.random() < 0.5:
+            parts = [x for x in parts if not (top(x[2]) and (x[2].signed or cue(x[2])))]
+        new = [k for k, x in enumerate(parts) if not x[1]]
+        if kind != 2:
+            words = [w.strip(".,;:!?()") for k in new for t in parts[k][0] for w in t.split()] or ["ok"]
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(words))
+                short = [w for w in words[k : k + rng.randint(1, 6)] if w] or ["ok"]
+                short[0] = rng.choice((short[0], short[0].capitalize()))
+                places = [i + 1 for i, x in enumerate(parts) if not x[1] or x[2].quoted and (i + 1 == len(parts) or not parts[i + 1][2].quoted)]
+                said = rng.choice((", " if len(short) > 2 else " ", " ")).join((short[0], " ".join(short[1:]))).strip(" ,")
+                parts.insert(rng.choice(places or [0]), ([rng.choice(shared) if shared and rng.random() < 0.5 else said], 0, Block(0, "", 0)))
+        if kind != 3 and notes:
+            parts.append(([rng.choice(rng.choice(notes))], 1, Block(0, "", 0)))
+    return [_joined(parts)]
+
+
 def fit(segments: DataFrame) -> dict:
-    """Trees fitted on the blocks of a bounded sample of mails (those of the smallest hashes)."""
-    rows = with_counts(block_rows(segments))
-    keys = rows.select("mail", F.xxhash64("mail").alias("o")).distinct().orderBy("o").limit(SAMPLE).select("mail")
-    x = np.array([r.f for r in rows.join(keys, "mail").select("mail", "block_no", "h", "f").orderBy("mail", "block_no", "h").collect()])
-    return gbt.fit(x, np.array([sure_label(f) for f in x], np.float64))
+    """Trees fitted on the blocks of a bounded sample of mails (those of the smallest hashes).
+
+    Every mail comes in each variation once; a round holds one variation of every mail, so that a
+    mail never stands beside itself where blocks are counted.
+    """
+    spark = segments.sparkSession
+    sample = [r.content for r in mails(segments).select("content").distinct().orderBy(F.xxhash64("content"), "content").limit(SAMPLE).collect()]
+    cut = [b for c in sample for b in blocks(c) if b.kind in ("disclaimer", "device") and not b.quoted]
+    notes = [x for k in ("disclaimer", "device") if (x := sorted({" ".join(b.texts) for b in cut if b.kind == k}))]
+    said = [t.split() for c in sample for b in blocks(c) if not sure_label(features([b])[0]) for t in b.texts]
+    xs, ys = [], []
+    for turn in range(17):  # the last round holds the mails as they are, and counts for many
+        rng, made = random.Random(turn), []
+        shared = [" ".join(rng.choice(said)[: rng.randint(1, 5)]).strip(".,;:!?()") or "ok" for _ in range(20)] if said else []
+        for k, c in enumerate(sample):
+            made += varied(c, (k + turn) % 8 if turn < 16 else 0, rng, notes, shared)
+        rows = spark.createDataFrame([(i, c, ("email",)) for i, (c, _) in enumerate(made)], "ord long, content string, meta struct<content_type:string>")
+        for r in with_counts(block_rows(rows)).select("ord", "lines", "f").orderBy("ord", "block_no").collect():
+            own = [made[r.ord][1][i - 1] for i in r.lines]
+            xs += [r.f] * (1 if turn < 16 else 7)
+            ys += [float(2 * sum(own) >= len(own))] * (1 if turn < 16 else 7)
+    return gbt.fit(np.array(xs), np.array(ys))

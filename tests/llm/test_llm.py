@@ -272,6 +272,22 @@ def test_mail_blocks(spark):
     assert email_new_text.found(seg.limit(0)).count() == 0
 
 
+def test_mail_notes_and_short_lines(spark):
+    """Disclaimers and device notes without a sign-off are old, short new lines are new; every feature has a say."""
+    note = "This message is intended only for the person named above and is confidential, so please delete it if you received it by mistake today or tomorrow."
+    rows = [(1, f"Hi,\n\nplease see the file.\n\n{note}", {5}), (2, f"Hi,\n\nplease see it.\n\n> is it so?\n\n{note}", {5, 7}), (3, "Hi Bo,\n\nI will come tomorrow.\n\nYes, go ahead", set()), (4, "Hi Bo,\n\nI will come.\n\n> ok?\n\nYes, go ahead\n\nSent from my phone", {5, 9})]
+    seg = spark.createDataFrame([(i, c, ("email",)) for i, c, _ in rows], "ord long, content string, meta struct<content_type:string>")
+    got = {(r.ord, r.line_no) for r in email_new_text.found(seg).collect()}
+    assert got == {(i, n) for i, _, old in rows for n in old}
+    used = {node[0] for t in gbt.load(str(email_new_text.MODEL))["trees"] for node in t if len(node) > 1}
+    assert {email_new_text.FEATURES[k] for k in used} >= {"contacts", "sender", "common", "ancestor", "device", "disclaimer", "headers", "rule"}
+    mails = [(f"{t}\n\nok then\n\nBest\nBo Blum\nbo@x.test", k) for k, t in enumerate(("One is here.", "Two is here.", "Three is here."))] + [("ok then\n\nFour is here.\n\nBest\nAl Stein\nal@x.test", 3)]
+    seg = spark.createDataFrame([(i, c, ("email",)) for c, i in mails], "ord long, content string, meta struct<content_type:string>")
+    f = {(r.ord, r.texts[0]): dict(zip(email_new_text.FEATURES, r.f)) for r in email_new_text.with_counts(email_new_text.block_rows(seg)).collect()}
+    assert f[0, "ok then"]["common"] == 2 and f[0, "ok then"]["sender"] == pytest.approx(np.log2(3)) and f[3, "ok then"]["sender"] == 0
+    assert f[0, "ok then"]["ancestor"] == 1 and f[3, "ok then"]["ancestor"] == 0
+
+
 def test_mail_trees_on_held_out_mails(spark):
     """The trees fitted on one table give the cautious rules' labels on the mails of another."""
     seg = spark.read.parquet("/root/testdata/sf0.01/segments.parquet")
