@@ -28,10 +28,11 @@ class History:
     path: a folder that all executors share (default: a new one under spark.checkpoint.dir).
     Batches must come in order; several may come at once, each row then counts as earlier than
     rows of a larger batch_id. Rows with a null batch_id are not admitted.
+    clustered: whether the links within the first load and the mapping are kept; repetitions() needs neither.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or new_path(spark, "history")
+    def __init__(self, spark: SparkSession, path: str | None = None, clustered: bool = True):
+        self.spark, self.path, self.clustered = spark, path or new_path(spark, "history"), clustered
         self.parts = 0
         self.order: np.ndarray | None = None
         self.counted: np.ndarray | None = None
@@ -69,14 +70,19 @@ class History:
         entries = postings(fresh, self.order, WIDTH, SIMILARITY, fresh=True)
         self._write(entries, "keys")
         new = entries_still_needed(self.spark.read.schema("token long, cls long, meta long, bits binary").parquet(f"{self.path}/keys/{self.parts}"), drop)
-        if first:
-            # Links within the first load make no row a repetition; they are found on demand (cluster()).
+        if first and self.clustered:
+            self._write(verified(candidates(new, SIMILARITY), fresh.select("cls", "words"), WIDTH, SIMILARITY), "links")
+        elif first:
+            # Links within the first load make no row a repetition.
             self._write(self.spark.createDataFrame([], "a long, b long, common int, size_a int, size_b int"), "links")
         else:
             old = entries_still_needed(self.keys, drop).withColumn("meta", F.col("meta").bitwiseAND(F.lit(~1)))
             pairs = candidates(old.unionByName(new), SIMILARITY, all_fresh=False)
             texts = self.texts.unionByName(fresh).select("cls", "words")
             self._write(verified(pairs, texts, WIDTH, SIMILARITY), "links")
+        if self.clustered:
+            last = self.spark.read.schema("a long, b long").parquet(f"{self.path}/links/{self.parts}")
+            self._write(merged(self._mapping(), last), "mapping")
         self.counted = sh.frequency_class(sh.class_least(self.counted) + sh.class_least(seen))
         self.parts += 1
 
@@ -91,15 +97,33 @@ class History:
         late = mine.join(first_id, "chunk_id", "left").join(first_like, "cls", "left").where("first_id < batch_id or first_like < batch_id")
         return late.select("batch_id", "chunk_id").distinct()
 
-    def clusters(self, mapping: DataFrame | None = None) -> DataFrame:
-        """(node, root): representative of every linked text class, from a mapping and the links of the last delivery."""
-        last = self.spark.read.schema("a long, b long").parquet(f"{self.path}/links/{self.parts - 1}")
-        return merged(mapping if mapping is not None else self.spark.createDataFrame([], "node long, root long"), last)
+    def _mapping(self) -> DataFrame:
+        schema = "node long, root long"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/mapping/{self.parts - 1}") if self.parts else self.spark.createDataFrame([], schema)
+
+    def clusters(self) -> DataFrame:
+        """(node, root): representative of every linked text class over all deliveries; classes without a link are left out."""
+        if not self.clustered:
+            raise ValueError("this history keeps no clusters")
+        return self._mapping()
+
+
+def clustered_rows(chunks: DataFrame) -> DataFrame:
+    """(batch_id, chunk_id, cls, cluster): the cluster of every row whose text has enough words, repeated rows once.
+
+    cluster is the smallest class that links lead to, the class itself where there is none. A
+    chunk_id delivered with different texts has a row for each.
+    """
+    history = History(chunks.sparkSession)
+    history.admit(chunks.where("batch_id = 0"))
+    history.admit(chunks.where("batch_id > 0"))
+    rows = history.rows.where("cls is not null").distinct()
+    return rows.join(history.clusters(), F.col("cls") == F.col("node"), "left").select("batch_id", "chunk_id", "cls", F.coalesce("root", "cls").alias("cluster"))
 
 
 def found_rows(chunks: DataFrame) -> DataFrame:
     """Problem 4's cases: batch 0 is the history, the later batches are probed against it and each other in order."""
-    history = History(chunks.sparkSession)
+    history = History(chunks.sparkSession, clustered=False)
     history.admit(chunks.where("batch_id = 0"))
     history.admit(chunks.where("batch_id > 0"))
     return history.repetitions()
@@ -142,7 +166,7 @@ def scored_links(chunks: DataFrame) -> DataFrame:
     Jaccard in tenths, same file, same number of words within a tenth. A row's earlier partners
     are one per linked text (its first delivery), so a text with many copies is one partner.
     """
-    history = History(chunks.sparkSession)
+    history = History(chunks.sparkSession, clustered=False)
     history.admit(chunks.where("batch_id = 0"))
     history.admit(chunks.where("batch_id > 0"))
     rows = with_words(chunks.where("chunk_id is not null and text is not null").select("chunk_id", "batch_id", "doc_id", "text"), LEAST_WORDS)

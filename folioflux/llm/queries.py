@@ -37,6 +37,10 @@ def p4_links(spark, d):
     return incremental.scored_links(table(spark, d, "chunks"))
 
 
+def p4_clusters(spark, d):
+    return incremental.clustered_rows(table(spark, d, "chunks"))
+
+
 def p5_found(spark, d):
     return email_new_text.found(table(spark, d, "segments"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_links": p4_links,
+    "p4_clusters": p4_clusters,
     "p5_found": p5_found,
     "p5_new_text": p5_new_text,
     "p6_found": p6_found,

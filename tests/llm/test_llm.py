@@ -126,6 +126,42 @@ def test_history_equals_brute_force(spark):
     assert incremental.scored_links(df.withColumn("doc_id", F.lit("d"))).count() > 0
 
 
+def test_clusters_over_deliveries(spark):
+    rng = random.Random(11)
+    rows = [(c, t, rng.choice([0, 0, 0, 1, 2])) for c, t in near_data(5, 60)]
+    base = [f"k{i}" for i in range(30)]
+    # a and b are linked within the first load; c to a only, d to b only
+    rows += [("a", " ".join(base), 0), ("b", " ".join(base[5:] + ["v1"]), 0), ("c", " ".join(["u1", "u2", "u3", "u4"] + base[:-4]), 1), ("d", " ".join(base[9:] + ["v1", "v2", "v3"]), 2)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, batch_id int")
+    key = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    texts = sorted({key(t) for _, t, _ in rows if len(key(t).split()) >= 8})
+    root = {t: t for t in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = brute_pairs([(t, t) for t in texts])
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    want = {}
+    for c, t, b in rows:
+        if c is not None and key(t) in root:
+            want.setdefault(find(key(t)), set()).add((b, c))
+    h = incremental.History(spark)
+    for b in range(3):
+        h.admit(df.where(F.col("batch_id") == b))
+    cls = {r.words: r.cls for r in h.texts.collect()}
+    to = {r.node: r.root for r in h.clusters().collect()}
+    assert {(x, y) for x in texts for y in texts if find(x) == find(y)} == {(x, y) for x in texts for y in texts if to.get(cls[x], cls[x]) == to.get(cls[y], cls[y])}
+    got = {}
+    for r in incremental.clustered_rows(df).collect():
+        got.setdefault(r.cluster, set()).add((r.batch_id, r.chunk_id))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len({k for k, v in got.items() if v & {(0, "a"), (0, "b"), (1, "c"), (2, "d")}}) == 1
+
+
 def test_match_weights():
     w = incremental.match_weights([((9, 1), 50), ((6, 0), 50), ((9, 0), 5), ((6, 1), 5)])
     assert w[0][9] > 0 > w[0][6] and w[1][1] > w[1][0] and incremental.match_weights([]) == []
