@@ -12,12 +12,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import membership, shingles as sh
 from .components import merged
 from .near_duplicates import LEAST_WORDS, SIMILARITY, WIDTH, candidates, entries_still_needed, postings, sketch, verified
-from .runtime import new_path, with_words
+from .runtime import new_path, with_words, written
 
 _NONE = "cls long, words string, first_batch int"
 
@@ -28,11 +28,12 @@ class History:
     path: a folder that all executors share (default: a new one under spark.checkpoint.dir).
     Batches must come in order; several may come at once, each row then counts as earlier than
     rows of a larger batch_id. Rows with a null batch_id are not admitted.
-    clustered: whether the links within the first load and the mapping are kept; repetitions() needs neither.
+    clustered: whether the mapping is kept. within: whether the links within the first load are, which
+    the mapping needs (default: with it). repetitions() needs neither.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, clustered: bool = True):
-        self.spark, self.path, self.clustered = spark, path or new_path(spark, "history"), clustered
+    def __init__(self, spark: SparkSession, path: str | None = None, clustered: bool = True, within: bool = False):
+        self.spark, self.path, self.clustered, self.within = spark, path or new_path(spark, "history"), clustered, within or clustered
         self.parts = 0
         self.order: np.ndarray | None = None
         self.counted: np.ndarray | None = None
@@ -70,7 +71,7 @@ class History:
         entries = postings(fresh, self.order, WIDTH, SIMILARITY, fresh=True)
         self._write(entries, "keys")
         new = entries_still_needed(self.spark.read.schema("token long, cls long, meta long, bits binary").parquet(f"{self.path}/keys/{self.parts}"), drop)
-        if first and self.clustered:
+        if first and self.within:
             self._write(verified(candidates(new, SIMILARITY), fresh.select("cls", "words"), WIDTH, SIMILARITY), "links")
         elif first:
             # Links within the first load make no row a repetition.
@@ -159,30 +160,55 @@ def match_weights(patterns: list[tuple[tuple, int]], rounds: int = 50) -> list[d
     return [{v: math.log2(m[k][v] / u[k][v]) for v in values[k]} for k in range(fields)]
 
 
-def scored_links(chunks: DataFrame) -> DataFrame:
-    """Each repeated row with its best earlier row: the one whose fields agree with the greatest learned weight.
+def earlier_pairs(history: History, chunks: DataFrame) -> DataFrame:
+    """Rows of later batches beside earlier rows with their chunk_id or a text like theirs, with the compared fields.
 
-    (batch_id, chunk_id, earlier_batch_id, earlier_chunk_id, jaccard, score). Compared fields:
-    Jaccard in tenths, same file, same number of words within a tenth. A row's earlier partners
-    are one per linked text (its first delivery), so a text with many copies is one partner.
+    (batch_id, chunk_id, earlier_batch_id, earlier_chunk_id, jaccard, f0 .. f3): Jaccard in tenths
+    (null and -1 where the texts are not linked), same file, same number of words within a tenth,
+    same chunk_id. Of the earlier rows that agree in the fields the first is there, so that a text
+    with many copies is a few partners: per linked class the first five of the rows that are
+    among the first two chunk_ids of their file and the first two files of their chunk_id (a row's
+    own file and chunk_id hide four at most), two by the row's file, and all texts of its chunk_id.
     """
-    history = History(chunks.sparkSession, clustered=False)
-    history.admit(chunks.where("batch_id = 0"))
-    history.admit(chunks.where("batch_id > 0"))
-    rows = with_words(chunks.where("chunk_id is not null and text is not null").select("chunk_id", "batch_id", "doc_id", "text"), LEAST_WORDS)
-    rows = rows.where("cls is not null").select("chunk_id", "batch_id", "doc_id", "cls", F.size(F.split("words", " ")).alias("n")).distinct()
-    heads = rows.groupBy("cls").agg(F.min(F.struct("batch_id", "chunk_id", "doc_id", "n")).alias("e"))
+    rows = with_words(chunks.where("chunk_id is not null and batch_id is not null").select("chunk_id", "batch_id", "doc_id", "text"), 1)
+    n = F.when(F.col("words").isNull(), 0).otherwise(F.size(F.split("words", " ")))
+    rows = rows.select("chunk_id", "batch_id", "doc_id", F.when(n >= LEAST_WORDS, F.col("cls")).alias("cls"), n.alias("n")).distinct()
+    firsts = rows.groupBy("cls", "doc_id", "chunk_id", "n").agg(F.min("batch_id").alias("batch_id"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("batch_id", "chunk_id", F.col("doc_id").asc_nulls_last()))
+    in_file = firsts.where("cls is not null").withColumn("r", rank("cls", "doc_id")).where("r <= 2").drop("r")
+    heads = in_file.withColumn("r", rank("cls", "chunk_id")).where("r <= 2").withColumn("r", rank("cls")).where("r <= 5").drop("r")
     ends = history.links.select("a", "b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
-    ends = ends.select("a", "b", "jaccard").unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    own = history.texts.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("jaccard"))
-    pairs = rows.where("batch_id > 0").join(ends.unionAll(own), F.col("cls") == F.col("a")).join(heads.withColumnRenamed("cls", "b"), "b")
-    pairs = pairs.where("e.batch_id < batch_id and e.chunk_id <> chunk_id").select(
+    ends = ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    ends = ends.unionAll(history.texts.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("jaccard")))
+    late = rows.where("batch_id > 0")
+    linked = written(late.join(ends, F.col("cls") == F.col("a")), "linked-rows")
+    of_class = linked.join(heads.select(F.col("cls").alias("b"), F.struct("batch_id", "chunk_id", "doc_id", "n").alias("e")), "b")
+    of_file = linked.join(in_file.select(F.col("cls").alias("b"), "doc_id", F.struct("batch_id", "chunk_id", "doc_id", "n").alias("e")), ["b", "doc_id"])
+    of_id = late.join(firsts.select("chunk_id", F.col("cls").alias("b"), F.struct("batch_id", "chunk_id", "doc_id", "n").alias("e")), "chunk_id")
+    of_id = of_id.where("e.batch_id < batch_id").join(ends, (F.col("cls") == ends["a"]) & (of_id["b"] == ends["b"]), "left").drop("a", "b")
+    columns = ["batch_id", "chunk_id", "doc_id", "n", "e", "jaccard"]
+    pairs = of_class.select(*columns).unionByName(of_file.select(*columns)).unionByName(of_id.select(*columns)).where("e.batch_id < batch_id").distinct()
+    return pairs.select(
         "batch_id", "chunk_id", F.col("e.batch_id").alias("earlier_batch_id"), F.col("e.chunk_id").alias("earlier_chunk_id"), "jaccard",
-        F.floor(F.col("jaccard") * 10).cast("int").alias("f0"),
+        F.coalesce(F.floor(F.col("jaccard") * 10).cast("int"), F.lit(-1)).alias("f0"),
         F.coalesce(F.col("e.doc_id") == F.col("doc_id"), F.lit(False)).cast("int").alias("f1"),
         (F.abs(F.col("e.n") - F.col("n")) * 10 <= F.col("n")).cast("int").alias("f2"),
+        (F.col("e.chunk_id") == F.col("chunk_id")).cast("int").alias("f3"),
     )
-    patterns = [((r.f0, r.f1, r.f2), r.n) for r in pairs.groupBy("f0", "f1", "f2").agg(F.count("*").alias("n")).collect()]
+
+
+def scored_links(chunks: DataFrame) -> DataFrame:
+    """Each repeated row with its best earlier row: the one whose fields agree with the greatest learned weight.
+
+    (batch_id, chunk_id, earlier_batch_id, earlier_chunk_id, jaccard, score), a row for each of
+    found_rows(). Compared fields: Jaccard in tenths, same file, same number of words within a
+    tenth, same chunk_id; jaccard is null where only the chunk_id is repeated.
+    """
+    history = History(chunks.sparkSession, clustered=False, within=True)
+    history.admit(chunks.where("batch_id = 0"))
+    history.admit(chunks.where("batch_id > 0"))
+    pairs = written(earlier_pairs(history, chunks), "earlier-pairs")
+    patterns = [((r.f0, r.f1, r.f2, r.f3), r.n) for r in pairs.groupBy("f0", "f1", "f2", "f3").agg(F.count("*").alias("n")).collect()]
     weights = match_weights(sorted(patterns))
     score = F.lit(0.0)
     for k, w in enumerate(weights):

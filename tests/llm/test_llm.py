@@ -162,6 +162,39 @@ def test_clusters_over_deliveries(spark):
     assert len({k for k, v in got.items() if v & {(0, "a"), (0, "b"), (1, "c"), (2, "d")}}) == 1
 
 
+def test_links_are_those_of_the_found_rows(spark):
+    rng = random.Random(12)
+    rows = [(c, rng.choice(["f", "g", None]), t, rng.choice([0, 0, 1, 2])) for c, t in near_data(6, 50)]
+    text = " ".join(f"q{i}" for i in range(20))
+    rows += [("A", "f", text, 0), ("B", "g", text, 1), ("A", "g", text, 2), ("C", "g", text.upper(), 2), ("S", "f", "short", 0), ("S", "f", None, 1), ("S", "f", "shorter", 2)]
+    rows += [(f"m{i}", "h", text, 0) for i in range(8)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, batch_id int")
+    want = {(r.batch_id, r.chunk_id) for r in incremental.found_rows(df).collect()}
+    got = incremental.scored_links(df).collect()
+    assert {(r.batch_id, r.chunk_id) for r in got} == want >= {(2, "A"), (2, "S"), (1, "S")} and len(got) == len(want)
+    assert all(r.earlier_batch_id < r.batch_id for r in got) and all((r.jaccard is None) <= (r.earlier_chunk_id == r.chunk_id) for r in got)
+    history = incremental.History(spark, clustered=False, within=True)
+    for b in ("batch_id = 0", "batch_id > 0"):
+        history.admit(df.where(b))
+    key = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    sets = lambda t: {tuple(key(t)[i : i + 3]) for i in range(len(key(t)) - 2)} if len(key(t)) >= 8 else set()
+    first = {}
+    for c, d, t, b in rows:
+        for c2, d2, t2, b2 in rows:
+            if c is not None and c2 is not None and 0 < b > b2:
+                s, u, n = sets(t), sets(t2), len(key(t))
+                j = 10 * len(s & u) // len(s | u) if s and u else 0
+                j = j if j >= 6 else -1
+                if j >= 0 or c == c2:
+                    k = (b, c, j, int(d is not None and d == d2), int(abs(len(key(t2)) - n) * 10 <= n), int(c == c2))
+                    first[k] = min(first.get(k, (99, "")), (b2, c2))
+    have = {}
+    for r in incremental.earlier_pairs(history, df).collect():
+        k = (r.batch_id, r.chunk_id, r.f0, r.f1, r.f2, r.f3)
+        have[k] = min(have.get(k, (99, "")), (r.earlier_batch_id, r.earlier_chunk_id))
+    assert have == first and first[2, "A", 10, 1, 1, 0] == (1, "B")
+
+
 def test_match_weights():
     w = incremental.match_weights([((9, 1), 50), ((6, 0), 50), ((9, 0), 5), ((6, 1), 5)])
     assert w[0][9] > 0 > w[0][6] and w[1][1] > w[1][0] and incremental.match_weights([]) == []
