@@ -39,15 +39,20 @@ def pieces(item: Column, most: Column, overlap: Column) -> Column:
 
     Every piece has at most `most` whitespace tokens, overlap included; neighbours share `overlap`
     tokens (fewer only where the item's start is nearer, or where `most` leaves no room: at most
-    most - 1). Without the overlaps, the pieces joined are the item. A blank item gives none, null
-    gives null.
+    most - 1). Without the overlaps, the pieces joined are the item. In an item above the limit, a
+    token of more than TOKEN_CHARS characters counts as several, each of so many characters at
+    most. A blank item gives none, null gives null.
     """
     shared = F.greatest(F.lit(0), F.least(overlap, most - 1))
     whole = stripped(item)
     spaced = F.regexp_extract_all(whole, F.lit(f"({NOT_WS}+{WS}*)"), F.lit(1))
+    above = F.size(spaced) > most
+    # Pieces are sliced from the same runs of characters as those of which they are counted.
+    run = f"{NOT_WS}{{1,{TOKEN_CHARS}}}+"
+    spaced = F.when(above, F.regexp_extract_all(whole, F.lit(f"({run}{WS}*)"), F.lit(1))).otherwise(spaced)
     cut = F.when(
-        F.size(spaced) > most,
-        F.transform(F.regexp_extract_all(whole, piece_pattern(most - shared), F.lit(0)), lambda p: F.regexp_count(p, F.lit(f"{NOT_WS}+"))),
+        above,
+        F.transform(F.regexp_extract_all(whole, piece_pattern(most - shared), F.lit(0)), lambda p: F.regexp_count(p, F.lit(run))),
     ).otherwise(F.array(F.size(spaced)))
     start = F.struct(F.array().cast("array<struct<start:int,n:int>>").alias("a"), F.lit(0).alias("at"))
     places = F.aggregate(

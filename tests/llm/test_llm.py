@@ -302,6 +302,24 @@ def test_splitting(spark):
     assert [r.text.split() for r in got if r.ord == 4] == [["d", ], ["d", "e"], ["d", "e", "f"], ["e", "f", "g"], ["f", "g", "h"]] and splitting.found(seg.limit(0), rules).count() == 0
 
 
+def test_splitting_cuts_long_tokens(spark):
+    rng = random.Random(13)
+    blob = "".join(rng.choices(string.ascii_letters + string.digits, k=25000))
+    item = f"One two three, four five. {blob} six seven eight. " + "nine ten, eleven. " * 12 + "z" * 10001
+    rules = spark.createDataFrame([("default", "by_paragraph", 5, 12, 3)], "doc_type string, strategy string, min_tokens int, max_tokens int, overlap int")
+    seg = spark.createDataFrame([(1, item, ("txt",))], "ord long, content string, meta struct<doc_type:string>")
+    runs = [t[i : i + 10000] for t in item.split() for i in range(0, len(t), 10000)]
+    seen = []
+    for r in splitting.split_oversized(seg, rules).orderBy("piece_no").collect():
+        w = [t[i : i + 10000] for t in r.text.split() for i in range(0, len(t), 10000)] if len(r.text) < 10000 else None
+        n = r.tokens
+        assert 0 < n <= 12 and r.overlap == (3 if seen else 0)
+        own = runs[len(seen) - r.overlap : len(seen) - r.overlap + n]
+        assert "".join(r.text.split()) == "".join(own) and len(own) == n and (w is None or w == own)
+        seen += own[r.overlap :]
+    assert seen == runs and [r.item_no for r in splitting.found(seg, rules).collect()] == [0]
+
+
 MAIL = """Hi Anna,
 
 From: gate four to gate nine, nothing moves.
