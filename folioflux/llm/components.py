@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import membership
 from .runtime import written
 
 
@@ -44,3 +45,28 @@ def merged(mapping: DataFrame, links: DataFrame) -> DataFrame:
     nodes = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("root")), F.struct(F.col("b").alias("node"), F.col("y").alias("root")))).alias("n")).select("n.*")
     every = mapping.select("node", "root").unionAll(nodes).distinct()
     return every.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).distinct()
+
+
+def resolved(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """(node, root) of nodes (node) by pointers (node, root) to what their nodes were joined to, followed to the end.
+
+    A node without a pointer is its own root. Only pointers that a followed node may have are
+    shuffled; the rounds are as many as the longest chain has pointers.
+    """
+    at = nodes.select("node", F.col("node").alias("root"))
+    while True:
+        ups = membership.split(parents.select(F.col("node").alias("root"), F.col("root").alias("up")), membership.of(at.select("root")), "root")
+        at = written(at.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "followed")
+        if not at.where("moved").limit(1).count():
+            return at.select("node", "root")
+
+
+def flattened(parents: DataFrame) -> DataFrame:
+    """(node, root) of every node that has a pointer or is pointed to, by doubling the pointers' reach until all end at a root."""
+    at = parents.select("node", "root")
+    while True:
+        ups = at.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        at = written(at.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "followed")
+        if not at.where("moved").limit(1).count():
+            return at.select("node", "root").unionAll(at.select(F.col("root").alias("node"), "root")).distinct()
+        at = at.select("node", "root")

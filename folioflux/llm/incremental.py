@@ -1,10 +1,13 @@
 """Problem 4: new batches against everything that has come before.
 
-A history is a set of written tables: the blocking keys of all texts seen (index entries of the
-set-similarity join, with sizes and bitmaps), the distinct texts, the first batch of every text
-and chunk_id, the frequency sketch that fixed the order of the keys, and the clusters as a mapping
-to representatives. A new delivery is compared through the keys alone; texts are read only of the
-pairs that the keys leave over. Links move only the clusters that they touch.
+A history is a folder of written tables, added to by every delivery and opened again by its path:
+the blocking keys of all texts seen (index entries of the set-similarity join, with sizes and
+bitmaps), the distinct texts, the rows' chunk_ids, the links, and the clusters as pointers from
+representatives to those that they were joined to (union-find); beside them the frequency sketch
+that fixed the order of the keys. A delivery's keys, classes and chunk_ids are marked in bit maps
+of fixed size; of the stored tables only rows with a mark leave the place where they are read. So
+what is shuffled, compared and written follows the delivery, not the history, and links move only
+the representatives that they touch.
 """
 
 from __future__ import annotations
@@ -15,111 +18,143 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import membership, shingles as sh
-from .components import merged
+from .components import components, flattened, resolved
 from .near_duplicates import LEAST_WORDS, SIMILARITY, WIDTH, candidates, entries_still_needed, postings, sketch, verified
-from .runtime import new_path, with_words, written
+from .runtime import exists, new_path, remove, with_words, written
 
-_NONE = "cls long, words string, first_batch int"
+#: Tables of a history; each has a folder for every delivery, that of the state is written last.
+TABLES = {
+    "rows": "chunk_id string, batch_id int, cls long",
+    "texts": "cls long, words string, first_batch int",
+    "keys": "token long, cls long, meta long, bits binary",
+    "links": "a long, b long, common int, size_a int, size_b int",
+    "parents": "node long, root long",
+    "state": "part int, clustered boolean, within boolean, order binary, counted binary",
+}
 
 
 class History:
     """What is kept of the batches that have been admitted.
 
-    path: a folder that all executors share (default: a new one under spark.checkpoint.dir).
-    Batches must come in order; several may come at once, each row then counts as earlier than
-    rows of a larger batch_id. Rows with a null batch_id are not admitted.
-    clustered: whether the mapping is kept. within: whether the links within the first load are, which
-    the mapping needs (default: with it). repetitions() needs neither.
+    path: a folder that all executors share; what has been admitted there goes on (default: a new
+    one under spark.checkpoint.dir, deleted with the session). A delivery that broke off leaves no
+    state and is written over. Batches must come in order; several may come at once, each row then
+    counts as earlier than rows of a larger batch_id. Rows with a null batch_id are not admitted.
+    clustered: whether the clusters are kept. within: whether the links within the first load are,
+    which the clusters need (default: with them). repetitions() needs neither. A history that is
+    opened again keeps what it was made with.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, clustered: bool = True, within: bool = False):
         self.spark, self.path, self.clustered, self.within = spark, path or new_path(spark, "history"), clustered, within or clustered
-        self.parts = 0
-        self.order: np.ndarray | None = None
-        self.counted: np.ndarray | None = None
-
-    def _read(self, name: str, schema: str) -> DataFrame:
+        self.temporary = path is None
+        self.parts, self.order, self.counted = 0, np.zeros(0, np.uint16), np.zeros(0, np.uint16)
+        if path and exists(spark, f"{path}/state/0/_SUCCESS"):
+            while exists(spark, f"{path}/state/{self.parts}/_SUCCESS"):
+                self.parts += 1
+            first, last = self._part("state", 0).first(), self._part("state", self.parts - 1).first()
+            self.clustered, self.within = first.clustered, first.within
+            self.order, self.counted = np.frombuffer(first.order, np.uint16), np.frombuffer(last.counted, np.uint16)
+
+    def _part(self, name: str, part: int) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{part}")
+
+    def _read(self, name: str) -> DataFrame:
         paths = [f"{self.path}/{name}/{k}" for k in range(self.parts)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
 
-    def _write(self, df: DataFrame, name: str) -> None:
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}/{self.parts}")
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/{self.parts}")
+        return self._part(name, self.parts)
 
-    texts = property(lambda self: self._read("texts", "cls long, words string, first_batch int"))
-    keys = property(lambda self: self._read("keys", "token long, cls long, meta long, bits binary"))
-    rows = property(lambda self: self._read("rows", "chunk_id string, batch_id int, cls long"))
-    links = property(lambda self: self._read("links", "a long, b long, common int, size_a int, size_b int"))
+    texts = property(lambda self: self._read("texts"))
+    keys = property(lambda self: self._read("keys"))
+    rows = property(lambda self: self._read("rows"))
+    links = property(lambda self: self._read("links"))
 
     def admit(self, rows: DataFrame) -> None:
-        """Take in rows (chunk_id, batch_id, text): write their keys, texts, first batches and links."""
+        """Take in rows (chunk_id, batch_id, text): write their keys, texts, chunk_ids, links and what the links join."""
         rows = rows.where(F.col("batch_id").isNotNull()).select("chunk_id", "batch_id", "text")
-        self._write(with_words(rows, LEAST_WORDS).select("chunk_id", "batch_id", "cls").where("chunk_id is not null").distinct(), "rows")
-        fresh = with_words(rows.select("batch_id", "text").where("text is not null"), LEAST_WORDS).where("cls is not null")
-        fresh = fresh.groupBy("cls", "words").agg(F.min("batch_id").alias("first_batch"))
+        cut = written(with_words(rows, LEAST_WORDS), "delivery")
+        self._write(cut.where("chunk_id is not null").select("chunk_id", "batch_id", "cls").distinct(), "rows")
+        fresh = cut.where("cls is not null").groupBy("cls", "words").agg(F.min("batch_id").alias("first_batch"))
         if self.parts:
-            # Most classes are surely new; only the others are compared with the history by a join.
-            known = membership.of(self.texts.select("cls"))
-            maybe = membership.split(fresh, known).join(self.texts.select("cls"), "cls", "left_anti")
-            fresh = membership.split(fresh, known, maybe=False).unionByName(maybe)
-        self._write(fresh, "texts")
-        fresh = self.spark.read.schema(_NONE).parquet(f"{self.path}/texts/{self.parts}")
+            known = membership.split(self.texts.select("cls"), membership.of(cut.select("cls")))
+            fresh = fresh.join(known, "cls", "left_anti")
+        fresh = self._write(fresh, "texts")
         seen = sketch(fresh, WIDTH)
-        first = self.order is None
-        if first:
+        if not self.parts:
             self.order, self.counted = seen, np.zeros_like(seen)
         drop = sh.alone(self.counted, seen)
-        entries = postings(fresh, self.order, WIDTH, SIMILARITY, fresh=True)
-        self._write(entries, "keys")
-        new = entries_still_needed(self.spark.read.schema("token long, cls long, meta long, bits binary").parquet(f"{self.path}/keys/{self.parts}"), drop)
-        if first and self.within:
-            self._write(verified(candidates(new, SIMILARITY), fresh.select("cls", "words"), WIDTH, SIMILARITY), "links")
-        elif first:
-            # Links within the first load make no row a repetition.
-            self._write(self.spark.createDataFrame([], "a long, b long, common int, size_a int, size_b int"), "links")
-        else:
-            old = entries_still_needed(self.keys, drop).withColumn("meta", F.col("meta").bitwiseAND(F.lit(~1)))
-            pairs = candidates(old.unionByName(new), SIMILARITY, all_fresh=False)
+        new = entries_still_needed(self._write(postings(fresh, self.order, WIDTH, SIMILARITY, fresh=True), "keys"), drop)
+        if self.parts:
+            # Only stored entries whose key the delivery may have.
+            old = membership.split(self.keys, membership.of(new.select("token")), "token").withColumn("meta", F.col("meta").bitwiseAND(F.lit(~1)))
             texts = self.texts.unionByName(fresh).select("cls", "words")
-            self._write(verified(pairs, texts, WIDTH, SIMILARITY), "links")
+            self._write(verified(candidates(old.unionByName(new), SIMILARITY, all_fresh=False), texts, WIDTH, SIMILARITY), "links")
+        elif self.within:
+            self._write(verified(candidates(new, SIMILARITY), fresh.select("cls", "words"), WIDTH, SIMILARITY), "links")
+        else:  # links within the first load make no row a repetition
+            self._write(self.spark.createDataFrame([], TABLES["links"]), "links")
         if self.clustered:
-            last = self.spark.read.schema("a long, b long").parquet(f"{self.path}/links/{self.parts}")
-            self._write(merged(self._mapping(), last), "mapping")
+            self._join(self._part("links", self.parts))
         self.counted = sh.frequency_class(sh.class_least(self.counted) + sh.class_least(seen))
+        order = self.order.tobytes() if not self.parts else None
+        self._write(self.spark.createDataFrame([(self.parts, self.clustered, self.within, order, self.counted.tobytes())], TABLES["state"]), "state")
+        if not self.parts and self.temporary:
+            remove(self.spark, self.path, at_exit=True)
         self.parts += 1
 
+    def _join(self, links: DataFrame) -> None:
+        """Union-find over a delivery's links: the representatives that they join get a pointer to the smallest of them."""
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.parts:
+            at = resolved(ends, self._read("parents"))
+            to = lambda name: at.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+            links = links.join(to("a"), "a").join(to("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        self._write(components(links.select("a", "b")).where("node <> root"), "parents")
+
     def repetitions(self) -> DataFrame:
-        """(batch_id, chunk_id) of the last delivery's rows whose chunk_id or a text like theirs came in an earlier batch."""
-        first_id = self.rows.groupBy("chunk_id").agg(F.min("batch_id").alias("first_id"))
-        first = self.texts.select("cls", "first_batch")
-        ends = self.links.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("other")), F.struct(F.col("b").alias("cls"), F.col("a").alias("other")))).alias("e")).select("e.*")
+        """(batch_id, chunk_id) of the last delivery's rows whose chunk_id or a text like theirs came in an earlier batch.
+
+        A text that the delivery brought has all its links among the delivery's own; one that came
+        before is a repetition by itself. So the links of earlier deliveries are not read.
+        """
+        mine, links = self._part("rows", self.parts - 1), self._part("links", self.parts - 1).select("a", "b")
+        hashed = self.rows.withColumn("h", F.xxhash64("chunk_id"))
+        same_id = membership.split(hashed, membership.of(mine.select(F.xxhash64("chunk_id").alias("h"))), "h")
+        first_id = same_id.groupBy("chunk_id").agg(F.min("batch_id").alias("first_id"))
+        ends = links.unionAll(links.select("b", "a")).toDF("cls", "other")
+        wanted = membership.of(mine.select("cls").where("cls is not null").unionAll(ends.select("other")))
+        first = membership.split(self.texts.select("cls", "first_batch"), wanted)
         linked = ends.join(first.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("first_batch").alias("first_batch"))
         first_like = first.unionByName(linked).groupBy("cls").agg(F.min("first_batch").alias("first_like"))
-        mine = self.spark.read.schema("chunk_id string, batch_id int, cls long").parquet(f"{self.path}/rows/{self.parts - 1}")
         late = mine.join(first_id, "chunk_id", "left").join(first_like, "cls", "left").where("first_id < batch_id or first_like < batch_id")
         return late.select("batch_id", "chunk_id").distinct()
 
-    def _mapping(self) -> DataFrame:
-        schema = "node long, root long"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/mapping/{self.parts - 1}") if self.parts else self.spark.createDataFrame([], schema)
-
     def clusters(self) -> DataFrame:
         """(node, root): representative of every linked text class over all deliveries; classes without a link are left out."""
         if not self.clustered:
             raise ValueError("this history keeps no clusters")
-        return self._mapping()
+        return flattened(self._read("parents"))
 
 
 def clustered_rows(chunks: DataFrame) -> DataFrame:
-    """(batch_id, chunk_id, cls, cluster): the cluster of every row whose text has enough words, repeated rows once.
+    """(batch_id, chunk_id, class_id, cluster): the cluster of every row whose text has enough words, repeated rows once.
 
-    cluster is the smallest class that links lead to, the class itself where there is none. A
-    chunk_id delivered with different texts has a row for each.
+    class_id is the MD5 of the text's words between single spaces, cluster the smallest class_id
+    that links lead to, the class's own where there is none. A chunk_id delivered with different
+    texts has a row for each.
     """
     history = History(chunks.sparkSession)
     history.admit(chunks.where("batch_id = 0"))
     history.admit(chunks.where("batch_id > 0"))
+    named = history.texts.select("cls", F.md5(F.col("words").cast("binary")).alias("class_id"))
+    roots = history.clusters()
+    heads = roots.join(named, F.col("node") == F.col("cls")).groupBy("root").agg(F.min("class_id").alias("head"))
+    classes = named.join(roots, F.col("cls") == F.col("node"), "left").join(heads, "root", "left").select("cls", "class_id", F.coalesce("head", "class_id").alias("cluster"))
     rows = history.rows.where("cls is not null").distinct()
-    return rows.join(history.clusters(), F.col("cls") == F.col("node"), "left").select("batch_id", "chunk_id", "cls", F.coalesce("root", "cls").alias("cluster"))
+    return rows.join(classes, "cls").select("batch_id", "chunk_id", "class_id", "cluster")
 
 
 def found_rows(chunks: DataFrame) -> DataFrame:

@@ -1,54 +1,40 @@
-"""A bit map of ids, of fixed size: which ids are surely not in a set, without shuffling either side."""
+"""A bit map of hashed ids, of fixed size: which rows surely aren't in a set, decided where they are read.
 
-from __future__ import annotations
+Built by Spark's bitmap aggregates (partial maps are merged as they come, so no task holds more
+than one) and looked up by expressions; no row leaves the JVM and neither side is shuffled.
+"""
 
-import zlib
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bits of the map (1 MB). Of far more ids than bits it tells nothing, and what uses it must stay right then.
-BITS, BLOCK = 23, 1 << 18
-
-
-def _place(ids: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def of(ids: DataFrame) -> np.ndarray:
-    """The map of the first column (long, no nulls); tasks send theirs compressed, merged by block."""
-    blocks = (1 << BITS) // BLOCK
-
-    def mark(batches):
-        seen = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            seen[_place(batch.column(0).to_numpy())] = True
-        for k, part in enumerate(seen.reshape(blocks, -1)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())], names=["block", "bits"])
+BITS = 23
+_BLOCK = 15
 
-    def merge(rows):
-        total = np.zeros(BLOCK // 8, np.uint8)
-        for x in rows["bits"]:
-            total |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return rows.head(1).assign(bits=[zlib.compress(total.tobytes(), 1)])
 
-    out = np.zeros((blocks, BLOCK), bool)
-    for r in ids.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").collect():
-        out[r.block] = np.unpackbits(np.frombuffer(zlib.decompress(r.bits), np.uint8)).astype(bool)
-    return out.reshape(-1)
+def of(ids: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The map of the first column, a long that is a hash (its top bits are the place); nulls are ignored."""
+    place = F.shiftrightunsigned(F.col(ids.columns[0]), 64 - bits)
+    rows = ids.where(F.col(ids.columns[0]).isNotNull()).select(place.alias("p")).groupBy(F.shiftright("p", _BLOCK).alias("block"))
+    out = np.zeros((1 << (bits - _BLOCK), 1 << (_BLOCK - 3)), np.uint8)
+    for r in rows.agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << _BLOCK) - 1)).alias("map")).collect():  # at most 2 ** (bits - 15) rows of 4 kB
+        out[r.block] = np.frombuffer(r.map, np.uint8)
+    return np.unpackbits(out.reshape(-1), bitorder="little").astype(bool)
 
 
-def split(df: DataFrame, bits: np.ndarray, column: str = "cls", maybe: bool = True) -> DataFrame:
-    """Rows whose id may be in the set (maybe=True: all that are, and a few others) or surely isn't."""
-    packed = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    at = df.columns.index(column)
+def holds(df: DataFrame, marks: np.ndarray, column: str = "cls") -> Column:
+    """Whether a row's hash is marked in a map of a power of two of marks; for a filter on df."""
+    bits = len(marks).bit_length() - 1
+    words = np.packbits(marks, bitorder="little").view(np.int64)
+    table = df.sparkSession.createDataFrame(pa.table({"map": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))})).scalar()
+    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    return F.getbit(F.get(table, F.shiftrightunsigned(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1
 
-    def keep(batches):
-        bits = np.unpackbits(packed.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[_place(batch.column(at).to_numpy())] == maybe))
 
-    return df.mapInArrow(keep, df.schema)
+def split(df: DataFrame, marks: np.ndarray, column: str = "cls", maybe: bool = True) -> DataFrame:
+    """Rows whose hash may be in the set (maybe=True: all that are, and a few others) or surely isn't."""
+    held = holds(df, marks, column)
+    return df.where(held if maybe else ~held)

@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import membership, shingles as sh
@@ -30,8 +31,14 @@ WIDTH, SIMILARITY, LEAST_WORDS = 3, "0.6", 8
 EXPAND_COPIES = 256
 #: Entries of one index list that one task compares; longer lists are cut into pairs of parts.
 LIST_PART = 4096
+#: Candidates under one shingle that one task verifies; more are spread over tasks by their first class.
+PAIRS_PART = 100_000
+#: Tasks whose sketches one task adds up; more are added up in rounds.
+FAN = 64
 _SLICE, _PAIRS, _BLOCK = 2000, 1 << 21, 64
 _POSTING = "token long, cls long, meta long, bits binary"
+#: Bits of an entry's meta, from the lowest: fresh, side (2), salted, side of a later cut (2), position (28), size (29).
+_SIDE, _SALTED, _LATER, _POS, _SIZE = 1, 3, 4, 6, 34
 
 
 def class_texts(df: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -40,9 +47,10 @@ def class_texts(df: DataFrame, text: str = "text", least_words: int = LEAST_WORD
 
 
 def sketch(classes: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """Frequency class of every bucket of shingles, counted over all sets; 2 MB whatever the corpus.
+    """Frequency class of every bucket of shingles, counted over all sets; 4 MB whatever the corpus.
 
-    A task sends its counts as classes, which are exact up to 7 and within a tenth beyond."""
+    A task sends its counts as classes, which are exact up to 7 and within a tenth beyond; they are
+    added up by FAN tasks at a time, so that no task gathers more than FAN sketches' blocks."""
     blocks = (1 << sh.SKETCH_BITS) // sh.SKETCH_BLOCK
 
     def count(batches):
@@ -52,16 +60,24 @@ def sketch(classes: DataFrame, width: int = WIDTH) -> np.ndarray:
             for i in range(0, len(texts), _SLICE):
                 total += np.bincount(sh.bucket(sh.shingle_sets(texts[i : i + _SLICE], width)[1]), minlength=len(total))
         parts = [zlib.compress(x.tobytes(), 1) for x in sh.frequency_class(total).reshape(blocks, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(parts, pa.binary())], names=["block", "counts"])
+        task = np.full(blocks, TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.arange(blocks, dtype=np.int32)), pa.array(parts, pa.binary())], names=["task", "block", "counts"])
 
     def add(key, rows):
-        total = sum((sh.class_least(np.frombuffer(zlib.decompress(x), np.uint8)) for x in rows["counts"]), np.zeros(sh.SKETCH_BLOCK, np.int64))
-        return rows.head(1).assign(counts=[sh.frequency_class(total).tobytes()])
-
-    rows = classes.select("words").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    out = np.zeros((blocks, sh.SKETCH_BLOCK), np.uint8)
-    for r in rows:
-        out[r.block] = np.frombuffer(r.counts, np.uint8)
+        total = sum((sh.class_least(np.frombuffer(zlib.decompress(x), np.uint16)) for x in rows["counts"]), np.zeros(sh.SKETCH_BLOCK, np.int64))
+        return rows.head(1).assign(task=int(key[0]), counts=[zlib.compress(sh.frequency_class(total).tobytes(), 1)])
+
+    schema = "task int, block int, counts binary"
+    rows = classes.select("words").mapInArrow(count, schema)
+    tasks = rows.rdd.getNumPartitions()
+    while True:
+        rows = rows.groupBy(F.floor(F.col("task") / FAN).cast("int").alias("group"), "block").applyInPandas(add, schema)
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    out = np.zeros((blocks, sh.SKETCH_BLOCK), np.uint16)
+    for r in rows.collect():  # one row a block
+        out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint16)
     return out.reshape(-1)
 
 
@@ -70,8 +86,9 @@ def postings(classes: DataFrame, freq: np.ndarray, width: int = WIDTH, similarit
 
     freq gives the order of the shingles; any sketch gives a right one, also of other sets. drop
     marks the buckets whose shingles no second set has, which need no entry (default: none is
-    dropped). Lists that the sketch expects to be longer than LIST_PART are cut into parts; an
-    entry goes to every pair of parts with its own.
+    dropped). Lists that the sketch surely expects to be longer than LIST_PART are cut into parts
+    here; an entry goes to every pair of parts with its own. What the sketch can't tell from a
+    bucket's usual load is cut by its true length in candidates(). A set of 2 ** 29 shingles raises.
     """
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast((freq, drop))
@@ -89,6 +106,8 @@ def postings(classes: DataFrame, freq: np.ndarray, width: int = WIDTH, similarit
                 if not len(h):
                     continue
                 size = np.bincount(row, minlength=len(part))
+                if size.max() >> (63 - _SIZE):
+                    raise OverflowError("a text has more shingles than an index entry can say")
                 payload = pa.array(sh.bitmaps(row, h, len(part)), pa.binary())
                 cls = freq[sh.bucket(h)]
                 order = np.lexsort((h, cls, row))
@@ -107,7 +126,7 @@ def postings(classes: DataFrame, freq: np.ndarray, width: int = WIDTH, similarit
                 side = np.where(own == other, 0, np.where(own == low, 1, 2))
                 with np.errstate(over="ignore"):
                     key = np.where(parts > 1, sh.mix(h + (low * parts + high + 1).astype(np.uint64)), h)
-                meta = (size[row] << 32) | (pos << 8) | ((parts > 1).astype(np.int64) << 3) | (side << 1) | int(fresh)
+                meta = (size[row] << _SIZE) | (pos << _POS) | ((parts > 1).astype(np.int64) << _SALTED) | (side << _SIDE) | int(fresh)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(ids[i : i + _SLICE][row]), pa.array(meta), payload.take(pa.array(row))],
                     names=["token", "cls", "meta", "bits"],
@@ -137,12 +156,13 @@ def _bit_levels(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 def _pairs_of(token, cls, meta, bits, t: sh.Threshold, all_fresh: bool):
     """Candidate pairs within the lists of a sorted run of index entries."""
-    size, pos, side, fresh = meta >> 32, (meta >> 8) & 0xFFFFFF, (meta >> 1) & 3, (meta & 1).astype(bool)
+    size, pos, fresh = meta >> _SIZE, (meta >> _POS) & ((1 << (_SIZE - _POS)) - 1), (meta & 1).astype(bool)
+    side, later = (meta >> _SIDE) & 3, (meta >> _LATER) & 3
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     group = np.cumsum(new) - 1
     order = np.lexsort((size, group))
-    token, cls, size, pos, side, fresh = (x[order] for x in (token, cls, size, pos, side, fresh))
+    token, cls, size, pos, side, later, fresh = (x[order] for x in (token, cls, size, pos, side, later, fresh))
     # An entry's largest partner: what is left behind its position must hold the least overlap.
     reach = np.minimum((size - pos) * (t.num + t.den) // t.num - size, size * t.den // t.num)
     span = int(size.max()) + 2
@@ -171,7 +191,9 @@ def _pairs_of(token, cls, meta, bits, t: sh.Threshold, all_fresh: bool):
         n = hi - lo
         right = np.repeat(jb, n)
         left = np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        ok = (reach[left] >= size[right]) & (cls[left] != cls[right]) & ((side[left] != side[right]) | (side[left] == 0))
+        ok = (reach[left] >= size[right]) & (cls[left] != cls[right])
+        for s in (side, later):  # parts of a list: pairs within the part, or between the two
+            ok &= (s[left] != s[right]) | (s[left] == 0)
         if not all_fresh:
             ok &= fresh[left] | fresh[right]
         left, right = left[ok], right[ok]
@@ -188,25 +210,40 @@ def _pairs_of(token, cls, meta, bits, t: sh.Threshold, all_fresh: bool):
         start = stop
 
 
-def candidates(entries: DataFrame, similarity: str = SIMILARITY, all_fresh: bool = True) -> DataFrame:
-    """(a, b, token): pairs of classes that may reach the threshold, once each, with a shingle they share.
-
-    all_fresh=False gives only pairs of which at least one side is fresh."""
-    t = sh.Threshold(similarity)
+def _paired(entries: DataFrame, t: sh.Threshold, all_fresh: bool, cut: bool) -> DataFrame:
+    """(uncut, a, b, token, meta, bits): candidate pairs of the lists (uncut = 0), and, if cut, the
+    entries themselves (uncut = 1; class in a) of lists longer than two parts, which are passed on as they come."""
+    names = ["uncut", "a", "b", "token", "meta", "bits"]
 
     def pairs(batches):
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, passing = 0, None
+
+        def passed_on(part: pa.Table):
+            if len(part):
+                n, none = len(part), pa.nulls(len(part), pa.int64())
+                yield from pa.table([pa.array(np.ones(n, np.int32)), part["cls"], none, part["token"], part["meta"], part["bits"]], names=names).to_batches()
 
         def run(last: bool):
-            nonlocal held, rows
+            nonlocal held, rows, passing
             whole = pa.Table.from_batches(held).combine_chunks()
             token = whole["token"].to_numpy()
-            cut = len(token) if last else int(np.searchsorted(token, token[-1], "left"))
-            rest = whole.slice(cut)
+            end = len(token) if last else int(np.searchsorted(token, token[-1], "left"))
+            if cut and not last and len(token) - end > 2 * LIST_PART:
+                passing, end = token[-1], len(token)
+            part, rest = whole.slice(0, end), whole.slice(end)
             held, rows = (rest.to_batches() if len(rest) else []), len(rest)
-            if cut > 1:
-                part = whole.slice(0, cut)
+            if not end:
+                return
+            token = token[:end]
+            if cut:
+                first = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+                n = np.diff(np.append(first, end))
+                long = np.repeat((n > 2 * LIST_PART) | (token[first] == passing if passing is not None else False), n)
+                if long.any():
+                    yield from passed_on(part.filter(pa.array(long)))
+                    part = part.filter(pa.array(~long)).combine_chunks()
+            if len(part) > 1:
                 bits = part["bits"].combine_chunks()
                 bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
                 out = list(_pairs_of(part["token"].to_numpy(), part["cls"].to_numpy(), part["meta"].to_numpy(), bits, t, all_fresh))
@@ -216,8 +253,8 @@ def candidates(entries: DataFrame, similarity: str = SIMILARITY, all_fresh: bool
                     k, a, b = k[order], a[order], b[order]
                     one = np.ones(len(a), bool)
                     one[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                    if one.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(k[one])], names=["a", "b", "token"])
+                    n = int(one.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(a[one]), pa.array(b[one]), pa.array(k[one]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
 
         limit = 200_000
         for batch in batches:
@@ -230,7 +267,29 @@ def candidates(entries: DataFrame, similarity: str = SIMILARITY, all_fresh: bool
         if held:
             yield from run(True)
 
-    found = entries.repartition(partitions(entries.sparkSession), "token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long, token long")
+    return entries.mapInArrow(pairs, "uncut int, a long, b long, token long, meta long, bits binary")
+
+
+def candidates(entries: DataFrame, similarity: str = SIMILARITY, all_fresh: bool = True) -> DataFrame:
+    """(a, b, token): pairs of classes that may reach the threshold, once each, with a shingle they share.
+
+    A list of more than two parts is not compared where it is met: its entries are written, counted,
+    and compared in pairs of parts, each in a task of its own. all_fresh=False gives only pairs of
+    which at least one side is fresh."""
+    t = sh.Threshold(similarity)
+    tasks = partitions(entries.sparkSession)
+    met = entries.select("token", "cls", "meta", "bits").repartition(tasks, "token").sortWithinPartitions("token")
+    met = written(_paired(met, t, all_fresh, True), "pairs", "uncut")
+    found, long = met.where("uncut = 0").select("a", "b", "token"), met.where("uncut = 1")
+    if not long.isEmpty():
+        parts = long.groupBy("token").agg(F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts"))
+        own = F.pmod("a", F.col("parts").cast("long")).cast("int")
+        each = long.join(parts, "token").select("token", "a", "meta", "bits", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        each = each.select(F.xxhash64("token", low, high).alias("token"), F.col("a").alias("cls"), F.col("meta").bitwiseOR(F.shiftleft(side.cast("long"), _LATER)).alias("meta"), "bits")
+        met = _paired(each.repartition(tasks, "token").sortWithinPartitions("token"), t, all_fresh, False)
+        found = found.unionByName(met.select("a", "b", "token"))
     return found.groupBy("a", "b").agg(F.min("token").alias("token"))
 
 
@@ -238,13 +297,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity:
     """(a, b, common, size_a, size_b) of the pairs that reach the threshold, counted on the texts (cls, words)."""
     t = sh.Threshold(similarity)
     pairs = written(pairs, "candidates")
+    crowded = pairs.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS_PART)
+    way = F.pmod("a", F.coalesce(F.ceil(F.col("n") / PAIRS_PART), F.lit(1)).cast("long")).cast("int")
+    pairs = pairs.join(crowded, "token", "left").select("a", "b", "token", way.alias("way"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     # Texts of no candidate stay where they are; the join below is exact whatever the map lets pass.
     texts = membership.split(texts.select("cls", "words"), membership.of(needed))
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("words").alias("words_a")), "a").join(
         texts.select(F.col("cls").alias("b"), F.col("words").alias("words_b")), "b"
     )
-    rows = both.select("token", "a", "words_a", "b", "words_b").repartition(partitions(pairs.sparkSession), "token").sortWithinPartitions("token", "a", "b")
+    rows = both.select("token", "a", "words_a", "b", "words_b", "way").repartition(partitions(pairs.sparkSession), "token", "way").sortWithinPartitions("token", "a", "b")
 
     def check(batches):
         known: dict[int, frozenset] = {}
@@ -261,7 +323,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity:
         before, plus, minus = {}, frozenset(), frozenset()
         for batch in batches:
             out = []
-            _, a, wa, b, wb = (c.to_pylist() for c in batch.columns)
+            a, wa, b, wb = (c.to_pylist() for c in batch.columns[1:5])
             for i in range(len(a)):
                 if a[i] != anchor:
                     own = set_of(a[i], wa[i])
@@ -291,14 +353,8 @@ def class_links(texts: DataFrame, width: int = WIDTH, similarity: str = SIMILARI
 
 def entries_still_needed(entries: DataFrame, drop: np.ndarray) -> DataFrame:
     """Stored entries without those of shingles that no second set has."""
-    shared = entries.sparkSession.sparkContext.broadcast(drop)
-
-    def keep(batches):
-        for batch in batches:
-            token, meta = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            yield batch.filter(pa.array(((meta >> 3) & 1).astype(bool) | ~shared.value[sh.bucket(token)]))
-
-    return entries.select("token", "cls", "meta", "bits").mapInArrow(keep, _POSTING)
+    salted = F.shiftright("meta", _SALTED).bitwiseAND(1) == 1
+    return entries.where(salted | ~membership.holds(entries, drop, "token"))
 
 
 def members_of(chunks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -332,21 +388,40 @@ def chunk_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups(chunks: DataFrame, width: int = 5, similarity: str = "0.8", least_words: int = 5) -> DataFrame:
-    """One row per chunk with a text of enough words: chunk_id, its group, links of its class, copies.
+    """One row per chunk with a text of enough words: chunk_id, class_id, group_id, links of its class, copies.
 
-    Groups are the connected components of the links between classes; group_id is the smallest
-    class of the component. A chunk_id delivered with different texts has a row for each class.
+    class_id is the MD5 of the text's words between single spaces. Groups are the connected
+    components of the links between classes; group_id is the smallest class_id of the component. A
+    chunk_id delivered with different texts has a row for each class.
     """
     texts = written(class_texts(chunks, least_words=least_words), "group-texts")
     links = written(class_links(texts, width, similarity), "group-links")
     members = written(members_of(chunks, least_words), "group-members")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
-    return (
-        members.join(components(links.select("a", "b")), F.col("cls") == F.col("node"), "left").drop("node")
-        .join(degree, "cls", "left").join(copies, "cls")
-        .select("chunk_id", "cls", F.coalesce("root", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    named = texts.select("cls", F.md5(F.col("words").cast("binary")).alias("class_id"))
+    roots = components(links.select("a", "b"))
+    heads = roots.join(named, F.col("node") == F.col("cls")).groupBy("root").agg(F.min("class_id").alias("group_id"))
+    classes = (
+        named.join(copies, "cls").join(degree, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left").join(heads, "root", "left")
+        .select("cls", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
     )
+    return members.join(classes, "cls").select("chunk_id", "class_id", "group_id", "links", "copies")
+
+
+def memberships(chunks: DataFrame) -> DataFrame:
+    """Problem 7's classes, links and groups, at its own width and threshold, whatever the copies: see groups().
+
+    With class_pairs() it says the same as found_pairs() without multiplying copies out."""
+    return groups(chunks, WIDTH, SIMILARITY, LEAST_WORDS)
+
+
+def class_pairs(chunks: DataFrame) -> DataFrame:
+    """(class_id_a, class_id_b, common, shingles): the links between classes of different words at problem 7's threshold, a < b."""
+    texts = written(class_texts(chunks), "near-texts")
+    side = lambda x: texts.select(F.col("cls").alias(x), F.md5(F.col("words").cast("binary")).alias(f"class_{x}"))
+    links = class_links(texts).join(side("a"), "a").join(side("b"), "b")
+    return links.select(F.least("class_a", "class_b").alias("class_id_a"), F.greatest("class_a", "class_b").alias("class_id_b"), "common", (F.col("size_a") + F.col("size_b") - F.col("common")).alias("shingles"))
 
 
 def found_pairs(chunks: DataFrame) -> DataFrame:

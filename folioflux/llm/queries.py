@@ -61,6 +61,14 @@ def p7_groups(spark, d):
     return near_duplicates.groups(table(spark, d, "chunks"))
 
 
+def p7_members(spark, d):
+    return near_duplicates.memberships(table(spark, d, "chunks"))
+
+
+def p7_links(spark, d):
+    return near_duplicates.class_pairs(table(spark, d, "chunks"))
+
+
 def p7_found(spark, d):
     return near_duplicates.found_pairs(table(spark, d, "chunks"))
 
@@ -92,6 +100,8 @@ QUERIES = {
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
+    "p7_members": p7_members,
+    "p7_links": p7_links,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
@@ -107,6 +117,27 @@ _NEAR = f"""w AS (SELECT DISTINCT chunk_id, {_WORDS} AS w FROM chunks WHERE text
           FROM c JOIN n AS m ON m.k = c.a JOIN n AS o ON o.k = c.b WHERE m.chunk_id <> o.chunk_id AND 5 * common >= 3 * (m.size + o.size - common))"""
 
 
+def _classes(width: int, num: int, den: int, least: int, both: str = "") -> str:
+    """Common table expressions: rows (with their class), classes, links between classes, groups as (node, root)."""
+    words = " || ' ' || ".join(["w[i]", *(f"w[i + {k}]" for k in range(1, width))])
+    return f"""RECURSIVE r AS (SELECT DISTINCT {both}chunk_id, {_WORDS} AS w FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+    m AS (SELECT DISTINCT {both}chunk_id, md5(array_to_string(w, ' ')) AS class_id FROM r WHERE len(w) >= {least}),
+    n AS (SELECT class_id, s, len(s) AS size FROM (SELECT md5(array_to_string(w, ' ')) AS class_id,
+          list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: {words})) AS s FROM (SELECT DISTINCT w FROM r WHERE len(w) >= {least}))),
+    u AS (SELECT class_id, unnest(s) AS g FROM n),
+    c AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS common FROM u AS x JOIN u AS y ON x.g = y.g AND x.class_id < y.class_id GROUP BY ALL),
+    l AS (SELECT a, b, common, p.size + q.size - common AS shingles FROM c JOIN n AS p ON p.class_id = a JOIN n AS q ON q.class_id = b WHERE {den} * common >= {num} * (p.size + q.size - common)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    t AS (SELECT class_id AS node, class_id AS root FROM n UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.node),
+    g AS (SELECT node, min(root) AS root FROM t GROUP BY node)"""
+
+
+def _groups(width: int, num: int, den: int, least: int) -> str:
+    return f"""WITH {_classes(width, num, den, least)}
+        SELECT m.chunk_id, m.class_id, g.root AS group_id, coalesce(d.links, 0) AS links, k.copies FROM m JOIN g ON g.node = m.class_id
+        JOIN (SELECT class_id, count(*) AS copies FROM m GROUP BY 1) AS k ON k.class_id = m.class_id LEFT JOIN (SELECT a, count(*) AS links FROM e GROUP BY 1) AS d ON d.a = m.class_id"""
+
+
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS_SQL}+|{WS_SQL}+$', '', 'g')"
 
@@ -135,6 +166,10 @@ ORACLES = {
         i AS (SELECT ord, most, list_filter(list_transform(parts, lambda x: {_strip('x')}), lambda x: x <> '') AS items FROM c),
         n AS (SELECT ord, most, unnest(range(len(items)))::INT AS item_no, unnest(items) AS item FROM i)
         SELECT DISTINCT ord, item_no FROM n WHERE {_tokens('item')} > most""",
+    "p4_clusters": f"WITH {_classes(3, 3, 5, 8, 'batch_id, ')} SELECT m.batch_id, m.chunk_id, m.class_id, g.root AS cluster FROM m JOIN g ON g.node = m.class_id WHERE m.batch_id IS NOT NULL",
+    "p7_groups": _groups(5, 4, 5, 5),
+    "p7_members": _groups(3, 3, 5, 8),
+    "p7_links": f"WITH {_classes(3, 3, 5, 8)} SELECT a AS class_id_a, b AS class_id_b, common, shingles FROM l",
     "p7_found": f"WITH {_NEAR} SELECT * FROM p",
     "p9_found": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),

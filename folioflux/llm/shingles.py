@@ -72,8 +72,8 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 
 def frequency_class(counts: np.ndarray) -> np.ndarray:
-    """0: in no set; 1: in one; then eight classes for each doubling."""
-    return np.where(counts < 1, 0, 1 + np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    """0: in no set; 1: in one; then eight classes for each doubling, of which two bytes hold any count."""
+    return np.where(counts < 1, 0, 1 + np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint16)
 
 
 def class_count(cls: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ def class_count(cls: np.ndarray) -> np.ndarray:
 
 def class_least(cls: np.ndarray) -> np.ndarray:
     """The least count of a class; up to 7 the only one."""
-    return np.where(cls == 0, 0, np.ceil(2.0 ** ((cls.astype(np.float64) - 1) / 8) - 1e-9)).astype(np.int64)
+    return np.where(cls == 0, 0, np.minimum(2.0**62, np.ceil(2.0 ** ((cls.astype(np.float64) - 1) / 8) - 1e-9))).astype(np.int64)
 
 
 def alone(freq: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:

@@ -195,6 +195,43 @@ def test_links_are_those_of_the_found_rows(spark):
     assert have == first and first[2, "A", 10, 1, 1, 0] == (1, "B")
 
 
+def test_history_goes_on_where_it_was(spark, tmp_path):
+    rows = [(c, t, b) for b in range(3) for c, t in near_data(21 + b, 25)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, batch_id int")
+    whole, path = incremental.History(spark), f"file://{tmp_path}/history"
+    for b in range(3):
+        whole.admit(df.where(F.col("batch_id") == b))
+        incremental.History(spark, path).admit(df.where(F.col("batch_id") == b))  # opened anew each time
+    again = incremental.History(spark, path)
+    assert again.parts == 3 and again.clustered
+    for name in ("repetitions", "clusters"):
+        assert sorted(getattr(again, name)().collect()) == sorted(getattr(whole, name)().collect())
+    assert sorted(again.links.collect()) == sorted(whole.links.collect()) and again.links.count() > 0
+
+
+def test_long_lists_are_cut_by_their_length(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "LIST_PART", 4)
+    monkeypatch.setattr(near_duplicates, "PAIRS_PART", 5)
+    monkeypatch.setattr(near_duplicates, "FAN", 2)
+    rng = random.Random(8)
+    head = [f"h{i}" for i in range(40)]
+    rows = [(f"k{i:03}", " ".join(edited(rng, head, rng.randint(0, 5)))) for i in range(120)]  # all lists are long
+    rows += [(f"z{i}", " ".join(f"t{i}x{j}" for j in range(12))) for i in range(30)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    want = brute_pairs(rows)
+    assert {(r.chunk_id_a, r.chunk_id_b) for r in near_duplicates.found_pairs(df).collect()} == want and len(want) > 1000
+    links = near_duplicates.class_pairs(df).collect()
+    assert len(links) == len({(r.class_id_a, r.class_id_b) for r in links}) and all(5 * r.common >= 3 * r.shingles for r in links)
+
+
+def test_sketch_classes_hold_any_count():
+    from folioflux.llm import shingles as sh
+
+    counts = np.array([0, 1, 2, 7, 2**31, 2**32, 2**33, 10**11, 2**60])
+    cls = sh.frequency_class(counts)
+    assert (np.diff(cls.astype(int)) > 0).all() and (sh.class_least(cls) <= counts).all() and (sh.class_count(cls) >= counts).all() and not sh.alone(cls[2:]).any()
+
+
 def test_match_weights():
     w = incremental.match_weights([((9, 1), 50), ((6, 0), 50), ((9, 0), 5), ((6, 1), 5)])
     assert w[0][9] > 0 > w[0][6] and w[1][1] > w[1][0] and incremental.match_weights([]) == []
