@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from itertools import chain
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ..functions.whitespace import SPACES
-from .runtime import TOKENIZERS, spread
+from .runtime import TOKENIZERS, shipped, spread
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: White space as the tokenizer sees it: Unicode's property, which lacks U+001C to U+001F.
@@ -45,6 +46,7 @@ class Encoder(dict):
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self._learn_merges()
+        self.table: dict[tuple[int, int], bool] = {}
 
     def _learn_merges(self) -> None:
         """shorter[i]: the longest token that is a proper prefix of token i; halves[i]: the two it was merged from."""
@@ -89,6 +91,15 @@ class Encoder(dict):
             else:
                 return True
 
+    def compatible(self, a: int, b: int) -> bool:
+        """The pair-compatibility table, filled in where it is first looked at; emptied when it holds a million pairs."""
+        known = self.table.get((a, b))
+        if known is None:
+            if len(self.table) >= _CACHE_LIMIT:
+                self.table.clear()
+            known = self.table[a, b] = self.fits(a, b)
+        return known
+
     def ids(self, piece: bytes) -> tuple[int, ...]:
         whole = self.id_of.get(piece)
         if whole is not None and self.halves[whole] != (whole, whole):
@@ -107,7 +118,7 @@ class Encoder(dict):
             end = -1
             while nxt >= 0:
                 end = at + len(lengths[nxt])
-                if not dead[end] and (last < 0 or self.fits(last, nxt)):
+                if not dead[end] and (last < 0 or self.compatible(last, nxt)):
                     break
                 nxt = self.shorter[nxt]
             if nxt >= 0:
@@ -150,18 +161,20 @@ class Decoder:
         return self.blob[place].tobytes().decode("utf-8", "replace")
 
 
-def read_ranks(path: str) -> list[bytes]:
-    with open(path, "rb") as f:
-        ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, f)}
+def read_ranks(file: str | bytes) -> list[bytes]:
+    """Tokens by id of a file of base64 tokens and ranks, given by its path or its bytes."""
+    data = file if isinstance(file, bytes) else Path(file).read_bytes()
+    ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, data.splitlines())}
     return [ranks[i] for i in range(len(ranks))]
 
 
 _LOADED: dict[str, Encoder] = {}
 
 
-def load(path: str) -> Encoder:
+def load(path: str, data: bytes | None = None) -> Encoder:
+    """The encoder of a vocabulary; data: the file's bytes where the path isn't at hand."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(read_ranks(path))
+        _LOADED[path] = Encoder(read_ranks(data or path))
     return _LOADED[path]
 
 
@@ -170,9 +183,10 @@ def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
     tokens in a text are ordinary text; repeated rows come out as often as they came in."""
     rows = spread(documents.select(key, text))
     schema = f"`{key}` {dict(rows.dtypes)[key]}, ids array<int>"
+    file = shipped(documents.sparkSession, vocabulary)
 
     def encode(batches):
-        encoder = load(vocabulary)
+        encoder = load(vocabulary, file.value)
         look, find = encoder.__getitem__, PRETOKENS.findall
         for batch in batches:
             flat, sizes = [], [0]
@@ -191,9 +205,10 @@ def decoded(df: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", id
     """(key, text) of lists of ids; a null list gives an empty text, an unknown id raises."""
     rows = df.select(key, ids)
     schema = f"`{key}` {dict(rows.dtypes)[key]}, text string"
+    file = shipped(df.sparkSession, vocabulary)
 
     def decode(batches):
-        decoder = Decoder(read_ranks(vocabulary))
+        decoder = Decoder(read_ranks(file.value))
         for batch in batches:
             texts = [decoder.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])

@@ -21,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import gbt
-from .runtime import spread
+from .runtime import spread, written
 
 MODEL = Path(__file__).with_name("email_blocks.json")
 #: Mails on which the trees are fitted at most.
 SAMPLE = 5_000
+#: Blocks of one wording that one task joins with their counts, and frequent wordings of which a table may be broadcast.
+HEAVY, MOST_HEAVY = 50_000, 10_000
 
 _PREFIX = re.compile(r"\s*([>|][>|\s]*)")
 #: Verbs of lines that introduce an earlier message, and words of the lines above forwarded ones. Fixed values.
@@ -203,23 +205,41 @@ def block_rows(segments: DataFrame) -> DataFrame:
     return spread(mails(segments)).mapInArrow(cut, schema)
 
 
+def _looked_up(rows: DataFrame, counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows with the counts of their keys; a key of more than HEAVY rows is joined in as many parts as it needs.
+
+    Should more than MOST_HEAVY keys be so frequent, their parts are left to the engine's own skew join."""
+    parts = F.ceil(F.col(n) / HEAVY).cast("int")
+    heavy = counts.where(F.col(n) > HEAVY).select(*keys, parts.alias("parts")).limit(MOST_HEAVY + 1).toArrow()
+    if not 0 < len(heavy) <= MOST_HEAVY:
+        return rows.join(counts, keys, "left")
+    few = F.broadcast(rows.sparkSession.createDataFrame(heavy))
+    rows = rows.join(few, keys, "left").withColumn("part", F.pmod("mail", F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
+    return rows.join(counts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, "part"], "left").drop("part")
+
+
 def with_counts(rows: DataFrame) -> DataFrame:
-    """Blocks with the number of mails, and of the sender's mails, that have the block, and whether another mail has it unquoted nearer its start."""
+    """Blocks with the number of mails, and of the sender's mails, that have the block, and whether another mail has it unquoted nearer its start.
+
+    rows is read several times and should be a written table."""
     once = rows.groupBy("h", "mail").agg(F.first("sender").alias("sender"), F.min(F.when(~F.col("quoted"), F.col("block_no"))).alias("at"))
     # The first two mails by place: the first that isn't the block's own mail decides.
     two = F.row_number().over(Window.partitionBy("h").orderBy(F.col("at").asc_nulls_last(), "mail"))
     early = once.where("at is not null").select("h", "mail", "at", two.alias("r")).where("r <= 2").groupBy("h").agg(F.collect_list(F.struct("mail", "at")).alias("early"))
     by = once.where("sender is not null").groupBy("h", "sender").agg(F.count("*").alias("same"))
-    both = rows.join(once.groupBy("h").agg(F.count("*").alias("mails")), "h").join(early, "h", "left").join(by, ["h", "sender"], "left")
+    of = once.groupBy("h").agg(F.count("*").alias("mails")).join(early, "h", "left")
+    both = _looked_up(_looked_up(rows, of, ["h"], "mails"), by, ["h", "sender"], "same")
     common, sender = F.log2(F.col("mails").cast("double")), F.log2(F.coalesce("same", F.lit(1)).cast("double"))
     ancestor = F.coalesce(F.exists("early", lambda e: (e["mail"] != F.col("mail")) & (e["at"] < F.col("block_no"))), F.lit(False)).cast("double")
     n = len(FEATURES)
     return both.withColumn("f", F.concat(F.slice("f", 1, n - 3), F.array(common, ancestor, sender))).drop("mails", "early", "same")
 
 
-def classified(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:
-    """(ord, block_no, lines, texts, old): blocks with whether they were not newly written."""
-    rows = with_counts(block_rows(segments)).select("ord", "block_no", "lines", "texts", "f")
+def classified(segments: DataFrame, model: str = str(MODEL), texts: bool = True) -> DataFrame:
+    """(ord, block_no, lines, texts, old): blocks with whether they were not newly written; without texts, texts is null."""
+    rows = block_rows(segments)
+    rows = written(rows if texts else rows.withColumn("texts", F.lit(None).cast("array<string>")), "mail-blocks")
+    rows = with_counts(rows).select("ord", "block_no", "lines", "texts", "f")
 
     def decide(batches):
         trees = gbt.load(model)
@@ -232,7 +252,7 @@ def classified(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:
 
 def found(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:
     """Problem 5's cases: (ord, line_no) of non-blank lines of mails that were not newly written."""
-    return classified(segments, model).where("old").select("ord", F.explode("lines").alias("line_no")).distinct()
+    return classified(segments, model, texts=False).where("old").select("ord", F.explode("lines").alias("line_no")).distinct()
 
 
 def new_text(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:

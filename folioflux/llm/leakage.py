@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import norm_words, spread
+from . import membership
+from .runtime import norm_words, spread, written
 from .shingles import _MIX, mix, word_array
 
 #: A leak is a shared run of so many words.
@@ -25,6 +26,8 @@ RUN = 12
 SAMPLED = 4
 #: Words of all items up to which their keys are broadcast (16 MB at most); beyond, keys are joined by shuffle.
 BROADCAST_WORDS = 1 << 20
+#: Bits (as a power of two) of the map of the items' keys by which a join's windows are sifted: 8 MB.
+MARKS = 26
 
 
 def sampled_steps(window: int, table: int, sampled: int = SAMPLED) -> list[int]:
@@ -186,8 +189,9 @@ def _windows(df: DataFrame, window: int, tables: int) -> DataFrame:
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, edits: int, tables: int) -> DataFrame:
     """The same by a join on keys, for items too many to broadcast; equal windows of a document once."""
-    mine = _windows(docs, window, tables).distinct()
-    theirs = _windows(items, window, tables).distinct().withColumnsRenamed({"id": "item_id", "run": "item_run"})
+    theirs = written(_windows(items, window, tables).distinct().withColumnsRenamed({"id": "item_id", "run": "item_run"}), "item-windows")
+    # Windows whose key no item has stay where they are cut.
+    mine = membership.split(_windows(docs, window, tables), membership.of(theirs.select("key"), MARKS), "key").distinct()
     pairs = mine.withColumnRenamed("id", "doc_id").join(theirs, "key")
 
     def check(batches):

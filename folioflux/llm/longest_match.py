@@ -9,6 +9,7 @@ on the way is precomputed with the link. Links are worked out on first use and k
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import regex
 
@@ -130,11 +131,10 @@ class TextCounter(dict):
 _LOADED: dict[str, TextCounter] = {}
 
 
-def load(path: str, ending: str = "</w>") -> TextCounter:
-    """The counter of a vocabulary file (JSON of a byte-level vocabulary with word ends)."""
+def load(path: str, ending: str = "</w>", data: bytes | None = None) -> TextCounter:
+    """The counter of a vocabulary file (JSON of a byte-level vocabulary with word ends); data: its bytes where the path isn't at hand."""
     if path not in _LOADED:
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+        vocab = json.loads(data or Path(path).read_bytes())["model"]["vocab"]
         table = printable_bytes()
         pieces = []
         for piece in vocab:

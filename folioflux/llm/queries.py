@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import bpe, email_new_text, incremental, leakage, near_duplicates, privacy, spam_pages, splitting, token_budget, vector_neighbors
 from .runtime import table
 
@@ -21,6 +23,10 @@ def p2_found(spark, d):
     return vector_neighbors.found_pairs(table(spark, d, "vectors"))
 
 
+def p2_neighbours(spark, d):
+    return vector_neighbors.query_neighbours(table(spark, d, "vectors"))
+
+
 def p3_found(spark, d):
     return privacy.detected(privacy.records(table(spark, d, "segments"), table(spark, d, "chunks")), table(spark, d, "name_parts"))
 
@@ -29,6 +35,10 @@ def p3_redacted(spark, d):
     return privacy.redacted(privacy.records(table(spark, d, "segments"), table(spark, d, "chunks")), table(spark, d, "name_parts"), b"folioflux")
 
 
+def p3_surrogates(spark, d):
+    return privacy.redacted(privacy.records(table(spark, d, "segments"), table(spark, d, "chunks")), table(spark, d, "name_parts"), b"folioflux", surrogates=True)
+
+
 def p4_found(spark, d):
     return incremental.found_rows(table(spark, d, "chunks"))
 
@@ -77,10 +87,21 @@ def p8_ids(spark, d):
     return bpe.encoded(table(spark, d, "documents"))
 
 
+def p8_round_trip(spark, d):
+    """Texts that differ from what their ids give back, with problem 8's encoder and decoder; none should."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    back = bpe.decoded(bpe.encoded(docs)).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").where(~F.coalesce("text", F.lit("")).eqNullSafe(F.col("back"))).select("doc_id")
+
+
 def p9_found(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_near(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), window=24, edits=2, recall=0.95)
+
+
 def p10_found(spark, d):
     return spam_pages.found(table(spark, d, "documents"))
 
@@ -89,8 +110,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_totals": p1_totals,
     "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p3_surrogates": p3_surrogates,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p4_clusters": p4_clusters,
@@ -103,7 +126,9 @@ QUERIES = {
     "p7_members": p7_members,
     "p7_links": p7_links,
     "p8_ids": p8_ids,
+    "p8_round_trip": p8_round_trip,
     "p9_found": p9_found,
+    "p9_near": p9_near,
     "p10_found": p10_found,
 }
 
@@ -171,6 +196,7 @@ ORACLES = {
     "p7_members": _groups(3, 3, 5, 8),
     "p7_links": f"WITH {_classes(3, 3, 5, 8)} SELECT a AS class_id_a, b AS class_id_b, common, shingles FROM l",
     "p7_found": f"WITH {_NEAR} SELECT * FROM p",
+    "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
     "p9_found": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
         x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d),

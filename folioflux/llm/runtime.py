@@ -95,6 +95,12 @@ def with_words(df: DataFrame, least: int, text: str = "text") -> DataFrame:
     return spread(df.select(*keep, text)).mapInArrow(run, schema)
 
 
+def shipped(spark: SparkSession, path: str):
+    """A broadcast of a vocabulary file's bytes (a few MB), so that only the driver needs the file."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def norm_words(text) -> F.Column:
     """Lower-cased words of a text joined by single spaces ('' for a text without words)."""
     return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))

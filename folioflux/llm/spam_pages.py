@@ -56,6 +56,8 @@ _LINK = re.compile(r"h(?:tt|xx)ps?(?::/|\[:\])|\bwww\.", re.IGNORECASE)
 _ADDRESS = re.compile(r"(?:h(?:tt|xx)ps?(?::/|\[:\])|\bwww\.)[^\s|)]*", re.IGNORECASE)
 _CODE = re.compile(r"[^\W\d_]*\d[\w/-]*")
 _PRICE = re.compile(r"\d[.,]\d\d\b\W*(?:eur|usd|gbp|chf|€|\$|£)", re.IGNORECASE)
+#: Labels of article numbers, before a number. Fixed values.
+_ARTICLE_NO = re.compile(r"\b(?:SKU|EAN|GTIN|UPC|MPN|ASIN|ISBN|P/N)\b[\s:.#-]*[A-Z]*[\s-]*\d")
 _TAG = re.compile(r"(?:^|\s)#\w")
 _NUMBERED = re.compile(r"^\W*\d+(?:\.\d+)*[.)\]]?\s+(?=\D)")
 _HEBREW = re.compile("[א-ת]")
@@ -125,7 +127,7 @@ def features(page: list[str]) -> tuple[list[int], list[tuple[int, ...]]]:
                 *map(bisect_right, _CUTS, value),
                 int(n >= 5 and line.rstrip()[-1:] in _ENDS and function > 0.1),
                 int(tight and not links),
-                int("SKU" in line or "#" in line and 2 * len(_TAG.findall(line)) >= m),
+                int(digits and _ARTICLE_NO.search(line) is not None or "#" in line and 2 * len(_TAG.findall(line)) >= m),
             )
         )
     return sizes, rows

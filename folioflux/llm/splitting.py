@@ -67,7 +67,7 @@ def pieces(item: Column, most: Column, overlap: Column) -> Column:
     return F.when(F.size(spaced) == 0, F.array().cast("array<struct<text:string,tokens:int,overlap:int,start:int>>")).otherwise(F.transform(places, piece))
 
 
-def oversized(segments: DataFrame, rules: DataFrame) -> DataFrame:
+def oversized(segments: DataFrame, rules: DataFrame, distinct: bool = True) -> DataFrame:
     """(ord, item_no, item, max_tokens, overlap) of the items above their rule's limit, repeated rows once.
 
     A segment's rule is that of exactly its doc_type, else 'default'; null contents have no items.
@@ -76,15 +76,16 @@ def oversized(segments: DataFrame, rules: DataFrame) -> DataFrame:
     # A content within the limit holds no item above it: most segments end here.
     rows = rows.where(token_count("content") > F.col("rule.max_tokens"))
     every = rows.select("ord", "rule", F.posexplode(items(F.col("content"), F.col("rule.strategy"))).alias("item_no", "item"))
-    return every.where(token_count("item") > F.col("rule.max_tokens")).select("ord", "item_no", "item", "rule.max_tokens", "rule.overlap").distinct()
+    rows = every.where(token_count("item") > F.col("rule.max_tokens")).select("ord", "item_no", "item", "rule.max_tokens", "rule.overlap")
+    return rows.distinct() if distinct else rows
 
 
-def split_oversized(segments: DataFrame, rules: DataFrame) -> DataFrame:
+def split_oversized(segments: DataFrame, rules: DataFrame, distinct: bool = True) -> DataFrame:
     """(ord, item_no, piece_no, text, tokens, overlap): the pieces of every oversized item."""
-    rows = oversized(segments, rules).select("ord", "item_no", F.posexplode(pieces(F.col("item"), F.col("max_tokens"), F.col("overlap"))).alias("piece_no", "p"))
+    rows = oversized(segments, rules, distinct).select("ord", "item_no", F.posexplode(pieces(F.col("item"), F.col("max_tokens"), F.col("overlap"))).alias("piece_no", "p"))
     return rows.select("ord", "item_no", "piece_no", "p.text", "p.tokens", "p.overlap")
 
 
 def found(segments: DataFrame, rules: DataFrame) -> DataFrame:
     """Problem 6's cases: (ord, item_no) of the items that had to be cut."""
-    return split_oversized(segments, rules).select("ord", "item_no").distinct()
+    return split_oversized(segments, rules, distinct=False).select("ord", "item_no").distinct()

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import bpe
 from .longest_match import load
-from .runtime import TOKENIZERS, spread
+from .runtime import TOKENIZERS, shipped, spread
 
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 #: Spellings of languages beside the two-letter code. Fixed values.
@@ -16,33 +17,34 @@ LANGUAGES = {
 }
 
 
-def with_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """df with ws_tokens and subword_tokens of a text column.
+def with_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, exact: str | None = None) -> DataFrame:
+    """df with ws_tokens and subword_tokens of a text column, and with bpe_tokens if exact is given.
 
     ws_tokens is the number of whitespace tokens, subword_tokens the number of pieces under the
-    longest-match vocabulary. A null text gives null for both, an empty or blank one 0. Other
-    columns pass through untouched; columns already called ws_tokens or subword_tokens are
-    replaced. Rows are neither dropped nor merged.
+    longest-match vocabulary; bpe_tokens is the number of ids that problem 8's encoder gives under
+    the byte-pair vocabulary `exact`. A null text gives nulls, an empty or blank one 0 (bpe_tokens
+    counts blanks). Other columns pass through untouched; columns already called so are replaced.
+    Rows are neither dropped nor merged.
     """
-    df = df.drop("ws_tokens", "subword_tokens")
-    schema = T.StructType([*df.schema, T.StructField("ws_tokens", T.IntegerType()), T.StructField("subword_tokens", T.LongType())])
+    names = ["ws_tokens", "subword_tokens", *(["bpe_tokens"] if exact else [])]
+    df = df.drop("ws_tokens", "subword_tokens", "bpe_tokens")
+    schema = T.StructType([*df.schema, *(T.StructField(n, T.IntegerType() if n == "ws_tokens" else T.LongType()) for n in names)])
+    file, ranks = shipped(df.sparkSession, vocabulary), shipped(df.sparkSession, exact) if exact else None
 
     def count(batches):
-        counter = load(vocabulary)
+        counter = load(vocabulary, data=file.value)
+        encoder = bpe.load(exact, ranks.value) if exact else None
         for batch in batches:
-            words, pieces = [], []
+            out = []
             for t in batch.column(text).to_pylist():
                 if t is None:
-                    words.append(None)
-                    pieces.append(None)
+                    out.append((None,) * len(names))
                 else:
                     tokens = t.split()
-                    words.append(len(tokens))
-                    pieces.append(sum(map(counter.__getitem__, tokens)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(words, pa.int32()), pa.array(pieces, pa.int64())],
-                names=[*batch.schema.names, "ws_tokens", "subword_tokens"],
-            )
+                    whole = (len(tokens), sum(map(counter.__getitem__, tokens)))
+                    out.append((*whole, sum(map(len, map(encoder.__getitem__, bpe.PRETOKENS.findall(t))))) if exact else whole)
+            counts = [pa.array(c, pa.int32() if n == "ws_tokens" else pa.int64()) for n, c in zip(names, zip(*out) if out else [[]] * len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(count, schema)
 
@@ -73,8 +75,8 @@ def slices(df: DataFrame) -> DataFrame:
     )
 
 
-def counted(chunks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    return with_counts(spread(chunks), "text", vocabulary)
+def counted(chunks: DataFrame, vocabulary: str = VOCABULARY, exact: str | None = None) -> DataFrame:
+    return with_counts(spread(chunks), "text", vocabulary, exact)
 
 
 def wrong_counts(chunks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -83,8 +85,9 @@ def wrong_counts(chunks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return rows.where(~F.col("token_count").eqNullSafe(F.col("ws_tokens"))).select("chunk_id").distinct()
 
 
-def totals(chunks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Totals by file, by source, by language, by domain, by all three, and of everything.
+def totals(chunks: DataFrame, vocabulary: str = VOCABULARY, exact: str = bpe.VOCABULARY) -> DataFrame:
+    """Totals by file, by source, by language, by domain, by all three, and of everything: chunks,
+    whitespace tokens, longest-match pieces, and exact tokens of the byte-pair vocabulary `exact`.
 
     A chunk that is repeated, in its batch or in a later one, counts once: a chunk is its
     chunk_id with its text, and takes its slice from the delivery with the smallest meta_json
@@ -92,15 +95,16 @@ def totals(chunks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     up per (file, source, language, domain) before the slices are formed, so a source that holds
     most rows is summed where it is read.
     """
-    rows = slices(counted(chunks.select("chunk_id", "doc_id", "text", "meta_json"), vocabulary))
+    rows = slices(counted(chunks.select("chunk_id", "doc_id", "text", "meta_json"), vocabulary, exact))
     once = rows.groupBy("chunk_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("text_length")).agg(
         F.min(F.struct(F.col("meta_json").isNull().alias("late"), "meta_json", "source_filepath", "source", "lang", "domain")).alias("m"),
         F.max("ws_tokens").alias("ws_tokens"),
         F.max("subword_tokens").alias("subword_tokens"),
+        F.max("bpe_tokens").alias("bpe_tokens"),
     )
-    sums = [F.sum(c).cast("long").alias(c) for c in ("chunks", "ws_tokens", "subword_tokens")]
+    sums = [F.sum(c).cast("long").alias(c) for c in ("chunks", "ws_tokens", "subword_tokens", "bpe_tokens")]
     fine = (
-        once.select("m.source_filepath", "m.source", "m.lang", "m.domain", F.lit(1).alias("chunks"), F.coalesce("ws_tokens", F.lit(0)).alias("ws_tokens"), F.coalesce("subword_tokens", F.lit(0)).alias("subword_tokens"))
+        once.select("m.source_filepath", "m.source", "m.lang", "m.domain", F.lit(1).alias("chunks"), F.coalesce("ws_tokens", F.lit(0)).alias("ws_tokens"), F.coalesce("subword_tokens", F.lit(0)).alias("subword_tokens"), F.coalesce("bpe_tokens", F.lit(0)).alias("bpe_tokens"))
         .groupBy("source_filepath", "source", "lang", "domain").agg(*sums)
     )
     key = [F.col(c) for c in ("source_filepath", "source", "lang", "domain")]

@@ -307,6 +307,54 @@ def test_leaks(spark):
     assert leakage.leaks(df, it.limit(0)).count() == 0 and leakage.leaks(df.limit(0), it).count() == 0
 
 
+def test_leaks_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_WORDS", 0)
+    rng = random.Random(17)
+    item = words(rng, 40, 300)
+    docs = spark.createDataFrame([(1, " ".join(words(rng, 30, 300) + item[5:30])), (2, " ".join(words(rng, 80, 300))), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()] == [(1, 7)]
+    assert [(r.doc_id, r.item_id) for r in leakage.leaks(docs, items, window=24, edits=2).collect()] == [(1, 7)]
+    assert leakage.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_exact_budget(spark):
+    import tiktoken
+
+    texts = ["The pump's  valve №7 – ok", "", " ", None, "שלום עולם\n\nx"]
+    rows = [(f"c{i}", "d", t, "{}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:2], "chunk_id string, doc_id string, text string, meta_json string")
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(bpe.VOCABULARY))}
+    peer = tiktoken.Encoding("own", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+    total = next(r for r in token_budget.totals(df).collect() if r.source_filepath is None and r.source is None and r.lang is None and r.domain is None)
+    assert total.chunks == 5 and total.bpe_tokens == sum(len(peer.encode_ordinary(t or "")) for t in texts)
+
+
+def test_recall_is_reached(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64)).astype(np.float32)  # no clusters at all: the hardest case
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_pos long, embedding array<float>")
+    got = {}
+    for r in vector_neighbors.query_neighbours(df).collect():
+        got.setdefault(r.vec_pos, set()).add(r.other)
+    assert sorted(got) == list(range(0, 1500, 50)) and all(len(v) == 10 for v in got.values())
+
+    def true(i):
+        d = ((x - x[i]).astype(float) ** 2).sum(1)
+        return set(np.argsort(np.where(np.arange(len(x)) == i, np.inf, d))[:10].tolist())
+
+    assert sum(len(true(i) & v) for i, v in got.items()) >= 0.9 * 10 * len(got)
+    exact = vector_neighbors.neighbours(df, 10, recall=1.0, queries="vec_pos < 40").collect()
+    assert all({r.other for r in exact if r.vec_pos == i} == true(i) for i in range(40))
+
+
+def test_frequent_wordings_in_parts(spark, monkeypatch):
+    seg = spark.createDataFrame([(i, f"Hello {i}, the pump number {i} is ready.\n\nRegards\nAnna {i % 2}", ("email",)) for i in range(30)], "ord long, content string, meta struct<content_type:string>")
+    plain = sorted(email_new_text.with_counts(email_new_text.block_rows(seg)).select("ord", "block_no", "f").collect())
+    monkeypatch.setattr(email_new_text, "HEAVY", 4)
+    assert sorted(email_new_text.with_counts(email_new_text.block_rows(seg)).select("ord", "block_no", "f").collect()) == plain
+
+
 def test_leaks_with_edits(spark):
     rng = random.Random(9)
     items = [(i, " ".join(words(rng, 60, 5000))) for i in range(10)]
@@ -467,6 +515,36 @@ def test_replacement(spark):
     assert privacy.redacted(records, parts, b"k").count() == 3
 
 
+def test_surrogates(spark):
+    names = privacy.Names([("Anna", "given", "f"), ("Ida", "given", "f"), ("Bo", "given", "m"), ("Per", "given", "m"), ("Schmidt", "family"), ("Blum", "family"), ("דנה", "given", "f"), ("רות", "given", "f"), ("כהן", "family"), ("לוי", "family")])
+    make = privacy.Surrogates(b"k", names)
+    assert sorted(make.permuted(make.permuted(i, 777, "s"), 777, "s", True) for i in range(777)) == list(range(777))
+    assert sorted(make.moved(i, 50, "s") for i in range(50)) == list(range(50)) and all(make.moved(i, 50, "s") != i for i in range(50))
+    # one entity, several spellings
+    a = make.replace("name", "Anna Schmidt")
+    assert make.replace("name", "Schmidt, Anna") == ", ".join(reversed(a.split())) and a == "Ida Blum" and make.replace("name", "BO BLUM") == "PER SCHMIDT"
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(make.replace("phone", "+1 212 555 0100")) == digits(make.replace("phone", "+1-212-555-0100")) and make.replace("phone", "+44 (0)20 7946 0209").startswith("+44 (0)")
+    m = make.replace("email", "a.b@x.com")
+    assert make.replace("email", "a.b (at) x.com") == m.replace("@", " (at) ") and m.endswith(".com.example") and m != make.replace("email", "a.b@x.org")
+    # no two get the same
+    assert len({make.replace("name", f"{c}. Schmidt") for c in string.ascii_uppercase}) == 26
+    assert len({make.replace("id_number", f"P{i:08}") for i in range(2000)}) == 2000
+    # every part of an address goes, its format stays
+    for address, form in (("12 Baker Street, London NW6 1XE", r"\d\d \w{5} Street, \w{6} [A-Z]{2}\d \d[A-Z]{2}"), ("Mühlenstr. 123, 00380 Brind", r"\w{5}nstr\. \d{3}, \d{5} \w{5}"), ("9 bis rue de l'Écluse, 00522 Haver", r"\d bis rue de l'\w{6}, \d{5} \w{5}")):
+        new = make.replace("address", address)
+        assert re.fullmatch(form.replace("\\w{5}nstr", "\\w{5,6}str"), new) and not set(re.findall(r"[A-Z]\w{4,}", address)) - {"Street"} & set(re.findall(r"\w+", new))
+    # script stays, and what is outside of the table is replaced too
+    assert make.replace("name", "דנה כהן") == "רות לוי" and make.replace("name", "Anna Quorten Blum").split()[1] not in ("Quorten", "Anna")
+    make.replace("address", "12 High² street 5")
+    tags = lambda t: re.findall(r"\[[A-Z_]+-\w+\]", privacy.redact(t, names, b"k"))
+    assert len(set(tags("Anna Schmidt; Schmidt, Anna"))) == len(set(tags("a.b@x.com a.b (at) x.com"))) == len(set(tags("+1 212 555 0100 or +1-212-555-0100"))) == 1
+    seg = spark.createDataFrame([(1, "Anna Blum and Bo Blum")], "ord long, content string")
+    parts = spark.createDataFrame([("Anna", "given", "f"), ("Ida", "given", "f"), ("Bo", "given", "m"), ("Per", "given", "m"), ("Blum", "family", None), ("Korte", "family", None)], "name_part string, part_kind string, gender string")
+    empty = spark.createDataFrame([], "chunk_id string, text string")
+    assert privacy.redacted(privacy.records(seg, empty), parts, b"k", True).first().text == "Ida Korte and Per Korte"
+
+
 def test_spam_pages(spark):
     prose = "The central pump report was sent to our customs desk after the audit. Each valve is tested by the crew before the shift."
     pages = {
