@@ -1,4 +1,4 @@
-"""python -m folioflux.cli COMMAND PROJECT: create, ingest, embed, retrieve, config."""
+"""python -m folioflux.cli COMMAND PROJECT [QUERY]: create, config, ingest, enrich-images, index-images, embed, retrieve, ask, run, files."""
 
 from __future__ import annotations
 
@@ -8,54 +8,67 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession, functions as F
 
-from .config import Project, lookup, problems
-from .operators.chunking import chunk_segments
-from .operators.embedding import hash_embedded
-from .operators.retrieval import late_fusion, nearest
-from .operators.rules import rules_frame
-from .plans.pipeline import build_index
-from .sources.loaders import read_files
+from .config import Project, check_file
+from .operators.reporting import first_ranks
+from .plans.runner import Runner
+from .sources.loaders import raw_listing
 
+COMMANDS = ("create", "config", "files", "ingest", "enrich-images", "index-images", "embed", "retrieve", "ask", "run")
 
-def segments(spark: SparkSession, project: Project):
-    """Readable segments of the project's raw files, in a fixed order."""
-    rows = read_files(spark, str(project.path("raw"))).where("ok")
-    meta = F.struct(F.col("meta")["doc_type"].alias("doc_type"), F.col("meta")["doc_id"].alias("doc_id"), F.col("meta")["source_filepath"].alias("source_filepath"), F.lit(None).cast("array<string>").alias("image_paths"))
-    return rows.select(F.abs(F.xxhash64("path", "seq")).alias("ord"), "content", meta.alias("meta"))
 
-
-def main(args: list[str] | None = None) -> int:
+def main(args: list[str] | None = None, **plugins) -> int:
+    """Run a command; plugins are those of Runner, for use from Python."""
     p = argparse.ArgumentParser(prog="folioflux", description=__doc__)
-    p.add_argument("command", choices=["create", "ingest", "embed", "retrieve", "config"])
+    p.add_argument("command", choices=COMMANDS)
     p.add_argument("project", type=Path)
     p.add_argument("query", nargs="?")
     p.add_argument("-k", type=int)
+    p.add_argument("--model")
+    p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--doc-types", nargs="*")
     a = p.parse_args(args)
     if a.command == "create":
         print(Project.create(a.project.parent, a.project.name).root)
         return 0
     project = Project(a.project)
     if a.command == "config":
-        wrong = problems(project.config)
+        wrong = check_file(project.file)
         print(json.dumps(project.config, indent=2) if not wrong else "\n".join(wrong))
         return int(bool(wrong))
     spark = SparkSession.builder.appName("folioflux").getOrCreate()
-    rules, index = rules_frame(spark), str(project.path("index"))
-    if a.command == "ingest":
-        chunk_segments(segments(spark, project), rules).write.mode("overwrite").partitionBy("doc_type").parquet(str(project.path("chunks")))
-        return 0
-    stored = spark.read.parquet(index) if "index" not in project.missing() else None
-    if a.command == "embed":
-        keep = stored if lookup(project.config, "embedding.skip_duplicates", True) else None
-        build_index(segments(spark, project), rules, keep).write.mode("append").partitionBy("doc_type").parquet(index)
+    if a.command == "files":
+        for r in raw_listing(spark, str(project.path("raw"))).orderBy("kind", "name").toLocalIterator():
+            print(f"{r.kind}\t{r.name}\t{r.size_kib:.2f} KiB")
         return 0
-    if not a.query or stored is None:
-        p.error("retrieve needs a query and an index")
-    k, dim = a.k or lookup(project.config, "retrieval.k", 5), lookup(project.config, "embedding.dim", 64)
-    asked = hash_embedded(spark.createDataFrame([(0, a.query)], "query_id long, text string"), dim)
-    hits = late_fusion(nearest(asked, stored, k, dim), k).join(stored.select("vec_pos", "doc_id", "text"), "vec_pos").orderBy("rank")
-    for r in hits.collect():
-        print(f"{r.rank}\t{r.similarity:.4f}\t{r.doc_id}\t{r.text[:80]}")
+    runner = Runner(spark, project, **plugins)
+    steps = {
+        "ingest": [("ingest", {}), ("chunk", {})],
+        "enrich-images": [("enrich", {"overwrite": a.overwrite})],
+        "index-images": [("index_images", {"doc_types": tuple(a.doc_types)} if a.doc_types else {})],
+        "embed": [("embed", {})],
+        "retrieve": [("retrieve", {"query": a.query, "k": a.k})],
+        "ask": [("retrieve", {"query": a.query, "k": a.k}), ("ask", {"query": a.query, "model": a.model})],
+        "run": [(s, {}) for s in ("ingest", "chunk", "enrich", "index_images", "embed")] + ([("retrieve", {"query": a.query, "k": a.k}), ("ask", {"query": a.query, "model": a.model})] if a.query else []),
+    }[a.command]
+    errors, warnings = project.preconditions([s for s, _ in steps], a.query or "")
+    for line in (*warnings, *errors):
+        print(line)
+    if errors:
+        return 1
+    for name, arguments in steps:
+        runner.add_step(name, **arguments)
+    for line in runner.run_steps():
+        if a.command in ("ingest", "run", "enrich-images", "index-images", "embed"):
+            print(line)
+    if a.command == "retrieve":
+        for r in runner.found.orderBy("rank").collect():  # a top-k report
+            print(f"{r.rank}\t{r.kind}\t{r.similarity:.4f}\t{r.doc_id}\t{' '.join((r.content or '')[:500].split())}")
+    if runner.answer:
+        print(runner.answer.text)
+        ranked = runner.found.select("rank", F.coalesce("doc_id", "id").alias("doc_id"), "page_number")
+        page = F.when(F.col("page_number") != 0, F.concat(F.lit(", page "), F.col("page_number").cast("string"))).otherwise("")
+        for r in first_ranks(ranked, F.concat(F.col("doc_id"), page), "rank").orderBy("rank").collect():
+            print(f"[{r.rank}] {r.source}")
     return 0
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import cleaned, stripped, tokens
 from ..functions.whitespace import WS
+from .reporting import failed
 from .rules import with_rule
 
 
@@ -74,6 +75,11 @@ def reject_reason(doc_type: Column, strategy: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merged(parts: Column, low: Column, high: Column, overlap: Column, has_images: Column) -> Column:
     """Chunks (text, token_count) of a segment's items, as a fold over them.
 
@@ -83,39 +89,31 @@ def merged(parts: Column, low: Column, high: Column, overlap: Column, has_images
     kept whatever its size. So an item of `high` tokens is not split, a small candidate is lost
     but for its tail, and a first item of `high` tokens closes an empty candidate, which images
     (or low = 0) keep as an empty chunk. An empty list gives no chunk; null gives null.
+
+    A candidate is always a run of the segment's tokens, so the fold goes over the items' token
+    counts and carries places alone; texts are cut out once at the end.
     """
-    empty = F.array().cast("array<string>")
-    zero = F.struct(
-        F.array().cast("array<struct<text:string,token_count:int>>").alias("out"),
-        empty.alias("tail"),
-        empty.alias("buf"),
-        F.lit(0).alias("items"),
-    )
-
-    def last(x: Column, n: Column) -> Column:
-        n = F.least(n, F.size(x))
-        return F.when(n > 0, F.slice(x, F.size(x) - n + 1, n)).otherwise(empty)
-
-    def chunk(x: Column) -> Column:
-        return F.struct(F.array_join(x, " ").alias("text"), F.size(x).alias("token_count"))
-
-    def step(acc: Column, item: Column) -> Column:
-        own = tokens(item)
-        full = F.size(acc["buf"]) + F.size(own) >= high
-        cand = F.concat(acc["tail"], acc["buf"])
-        kept = full & ((F.size(cand) >= low) | has_images)
+    zero = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("out"), F.lit(0).alias("from"), F.lit(0).alias("to"), F.lit(0).alias("n"))
+    run = lambda acc: F.array(F.struct(acc["from"].alias("at"), (acc["to"] - acc["from"]).alias("n")))
+
+    def step(acc: Column, k: Column) -> Column:
+        full, held = acc["n"] + k >= high, acc["to"] - acc["from"]
         return F.struct(
-            F.when(kept, F.concat(acc["out"], F.array(chunk(cand)))).otherwise(acc["out"]).alias("out"),
-            F.when(full, last(cand, overlap)).otherwise(acc["tail"]).alias("tail"),
-            F.when(full, own).otherwise(F.concat(acc["buf"], own)).alias("buf"),
-            F.lit(1).alias("items"),
+            F.when(full & ((held >= low) | has_images), F.concat(acc["out"], run(acc))).otherwise(acc["out"]).alias("out"),
+            F.when(full, acc["to"] - F.least(overlap, held)).otherwise(acc["from"]).alias("from"),
+            (acc["to"] + k).alias("to"),
+            F.when(full, k).otherwise(acc["n"] + k).alias("n"),
         )
 
     def finish(acc: Column) -> Column:
-        rest = F.concat(acc["tail"], acc["buf"])
-        return F.when(acc["items"] > 0, F.concat(acc["out"], F.array(chunk(rest)))).otherwise(acc["out"])
+        return F.concat(acc["out"], run(acc))
+
+    def chunks(each: Column) -> Column:
+        runs = F.when(F.size(each) > 0, F.aggregate(F.transform(each, F.size), zero, step, finish)).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+        cut = lambda every: F.transform(runs, lambda r: F.struct(F.array_join(F.slice(every, r["at"] + 1, r["n"]), " ").alias("text"), r["n"].alias("token_count")))
+        return F.when(each.isNotNull(), _let(F.flatten(each), cut))
 
-    return F.aggregate(parts, zero, step, finish)
+    return _let(F.transform(parts, tokens), chunks)
 
 
 def chunk_id(doc_id, ord_, seq, text) -> Column:
@@ -123,32 +121,47 @@ def chunk_id(doc_id, ord_, seq, text) -> Column:
     return F.sha2(F.concat_ws(chr(0), doc_id, F.col(ord_).cast("string"), F.col(seq).cast("string"), text), 256)
 
 
-def _typed(segments: DataFrame) -> DataFrame:
+def _typed(segments: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return segments.select(
         "ord", "content",
-        F.coalesce(F.nullif(F.col("meta.doc_type"), F.lit("")), F.lit("default")).alias("doc_type"),
+        F.coalesce("meta.doc_type", F.lit("default")).alias("doc_type"),
         F.coalesce("meta.source_filepath", "meta.doc_id", F.concat(F.lit("doc_"), F.col("ord").cast("string"))).alias("doc_id"),
         F.coalesce(F.size("meta.image_paths") > 0, F.lit(False)).alias("has_images"),
+        *(F.col(f"meta.{c}").alias(c) for c in carry),
     )
 
 
-def chunk_segments(segments: DataFrame, rules: DataFrame, clean: bool = True) -> DataFrame:
+def _ruled(segments: DataFrame, rules: DataFrame, strict: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Segments with their rule and, where they can't be chunked, the reason."""
+    rows = _typed(segments, carry)
+    if not strict:
+        rows = rows.withColumn("doc_type", F.coalesce(F.nullif("doc_type", F.lit("")), F.lit("default")))
+    rows = with_rule(rows, rules)
+    return rows.withColumn("reason", reject_reason(F.col("doc_type"), F.col("rule.strategy")))
+
+
+def chunk_segments(segments: DataFrame, rules: DataFrame, clean: bool = True, strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, doc_id, doc_type, ord, seq, text, token_count) of all segments that have a runnable strategy.
 
-    doc_type falls back to 'default', doc_id to 'doc_<ord>'. clean: mail cleaning of every type,
-    as the data model has it; a document with a line 'From: ...' loses the rest. Null contents and
-    unknown strategies give no chunk (see rejects()). One projection and one generator, no shuffle.
+    doc_type falls back to 'default' where it is missing, and, unless strict, where it is empty;
+    doc_id falls back to 'doc_<ord>'. clean: mail cleaning of every type, as the data model has it;
+    a document with a line 'From: ...' loses the rest. carry: fields of meta that the chunks keep.
+    Null contents and rejects() give no chunk. One projection and one generator, no shuffle.
     """
-    rows = with_rule(_typed(segments), rules)
+    rows = _ruled(segments, rules, strict, carry).where("reason is null")
     text = cleaned(F.col("content")) if clean else F.col("content")
     parts = items(text, F.col("rule.strategy"))
     chunks = merged(parts, F.col("rule.min_tokens"), F.col("rule.max_tokens"), F.col("rule.overlap"), F.col("has_images"))
-    out = rows.select("ord", "doc_id", "doc_type", F.posexplode(chunks).alias("seq", "c")).select("ord", "doc_id", "doc_type", "seq", "c.text", "c.token_count")
-    return out.select(chunk_id("doc_id", "ord", "seq", "text").alias("chunk_id"), "doc_id", "doc_type", "ord", "seq", "text", "token_count")
+    out = rows.select("ord", "doc_id", "doc_type", *carry, F.posexplode(chunks).alias("seq", "c")).select("ord", "doc_id", "doc_type", *carry, "seq", "c.text", "c.token_count")
+    return out.select(chunk_id("doc_id", "ord", "seq", "text").alias("chunk_id"), "doc_id", "doc_type", "ord", "seq", "text", "token_count", *carry)
+
+
+def rejects(segments: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
+    """(ord, doc_type, reason) of segments whose strategy is unsupported, or (strict) whose doc_type is empty."""
+    return _ruled(segments, rules, strict).select("ord", "doc_type", "reason").where("reason is not null").distinct()
 
 
-def rejects(segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """(ord, doc_type, reason) of segments whose strategy is unsupported."""
-    rows = with_rule(_typed(segments), rules)
-    why = rows.select("ord", "doc_type", reject_reason(F.col("doc_type"), F.col("rule.strategy")).alias("reason"))
-    return why.where("reason is not null").distinct()
+def outcomes(segments: DataFrame, rules: DataFrame, strict: bool = True) -> DataFrame:
+    """(doc_type, successes, errors, failed): how many segments could be chunked, and whether the step counts as failed under the soft policy."""
+    rows = _ruled(segments, rules, strict).groupBy("doc_type").agg(F.count_if(F.col("reason").isNull()).alias("successes"), F.count_if(F.col("reason").isNotNull()).alias("errors"))
+    return rows.select("doc_type", "successes", "errors", failed(F.col("errors"), F.col("successes")).alias("failed"))

@@ -57,6 +57,21 @@ def batch_results(lines: DataFrame) -> DataFrame:
     return lines.select(row.alias("r")).where("r.response.status_code = 200").select(F.col("r.custom_id").alias("chunk_id"), F.col("r.response.body.data")[0]["embedding"].alias("embedding"))
 
 
+def by_doc_type(rows: DataFrame) -> DataFrame:
+    """(doc_type, n): how many rows each index gets; rows without a type go to 'default'."""
+    return rows.groupBy(F.coalesce("doc_type", F.lit("default")).alias("doc_type")).agg(F.count("*").alias("n"))
+
+
+def matched(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """chunks that have a result (chunk_id, ...), joined to it."""
+    return chunks.join(results, "chunk_id")
+
+
+def missing(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """chunks without a result."""
+    return chunks.where("chunk_id is not null").join(results.select("chunk_id"), "chunk_id", "left_anti")
+
+
 def with_insight(text, summaries) -> F.Column:
     """Text with the image summaries appended, as it is embedded; unchanged where there are none."""
     note = F.array_join(summaries, " ")

@@ -46,7 +46,15 @@ def as_rows(chunks: DataFrame, found: DataFrame) -> DataFrame:
     return chunks.withColumn("kind", F.lit("text")).unionByName(images, allowMissingColumns=True)
 
 
-def flattened(enriched: DataFrame) -> DataFrame:
-    """(source_chunk_id, image_path, description) of all non-empty summaries."""
-    rows = enriched.select(F.col("chunk_id").alias("source_chunk_id"), F.explode("image_summaries").alias("s")).select("source_chunk_id", "s.image_path", "s.description")
+def flattened(enriched: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(source_chunk_id, image_path, description) of all non-empty summaries, with columns of the chunk to carry along."""
+    rows = enriched.select(F.col("chunk_id").alias("source_chunk_id"), *carry, F.explode("image_summaries").alias("s")).select("source_chunk_id", "s.image_path", "s.description", *carry)
     return rows.where("description <> ''")
+
+
+def enriched(chunks: DataFrame, captioner: Callable[[], Callable[[str, str], str | None]], output_mode: str = "append_to_chunk") -> DataFrame:
+    """Chunks with their images' captions, as summaries on the chunk or (separate_chunk) as rows of their own; another mode raises."""
+    modes = {"append_to_chunk": with_summaries, "separate_chunk": as_rows}
+    if output_mode not in modes:
+        raise ValueError(f"unknown output mode {output_mode!r}")
+    return modes[output_mode](chunks, captions(chunks, captioner))

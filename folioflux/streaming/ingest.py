@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import content_hash
 from ..operators.chunking import chunk_segments
 from ..operators.dedup import first_wins, not_stored
+from ..shared import exists
 
 
 def ingest(spark: SparkSession, incoming: str, schema, rules: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -20,12 +21,9 @@ def ingest(spark: SparkSession, incoming: str, schema, rules: DataFrame, target:
     def batch(df: DataFrame, batch_id: int) -> None:
         chunks = chunk_segments(df, rules).withColumn("content_hash", content_hash("text"))
         fresh = first_wins(chunks, F.col("content_hash"), "ord", "seq")
-        try:
-            stored = spark.read.parquet(target).where(F.col("batch") != batch_id).select("content_hash")
+        if exists(spark, target):  # else no batch has been written yet
+            stored = spark.read.schema("content_hash string, batch long").parquet(target).where(F.col("batch") != batch_id).select("content_hash")
             fresh = not_stored(fresh, F.col("content_hash"), stored)
-        except Exception as e:  # noqa: BLE001 - no batch has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).parquet(incoming)
