@@ -18,7 +18,7 @@ def read_chunk_tsv(spark: SparkSession, path: str, lenient: bool = False) -> Dat
 def write_chunk_tsv(chunks: DataFrame, path: str) -> None:
     """Chunks as TSV, a folder for each doc_type; only the types at hand are replaced."""
     out = chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type")
-    out.options(sep="\t", header=True, quote='"', escape='"', emptyValue="").csv(path)
+    out.options(sep="\t", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
