@@ -418,7 +418,7 @@ def redact(text: str | None, names: Names, key: bytes, surrogates: bool = False,
         item = " ".join(text[a:b].split())
         identity = f"{kind}\0{canonical(kind, item)}"
         new = make.replace(kind, item) if surrogates else f"[{kind.upper()}-{make._number(identity) >> 208:012x}]"
-        while used.setdefault(f"{kind}\0{canonical(kind, new)}" if surrogates else new, identity) != identity:
+        while used.setdefault(f"{kind}\0{new.lower()}", identity) != identity:
             new += "'"
         out += [text[at:a], new]
         at = b
