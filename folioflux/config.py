@@ -128,8 +128,8 @@ class Project:
         return log_path(self.path("logs"), name, run_id)
 
     def held(self, key: str) -> bool:
-        """Whether a table or folder holds anything."""
-        return self.path(key).exists() and any(self.path(key).iterdir())
+        """Whether a table or folder holds anything but marks of an ended job."""
+        return self.path(key).exists() and any(x.name[0] not in "._" for x in self.path(key).iterdir())
 
     def missing(self) -> list[str]:
         """Stages without results yet."""

@@ -34,9 +34,9 @@ class StepFailed(Exception):
 
 
 def segments_of(files: DataFrame) -> DataFrame:
-    """Segments (ord, content, meta) of read files; ord is a hash of path and place."""
+    """Segments (ord, content, meta, seq) of read files; ord is a hash of path and place."""
     meta = F.struct(*[F.col("meta")[k].cast(t).alias(k) for k, t in META.items()], F.from_json(F.col("meta")["image_paths"], "array<string>").alias("image_paths"))
-    return files.where("ok").select(F.xxhash64("path", "seq").alias("ord"), "content", meta.alias("meta"))
+    return files.where("ok").select(F.xxhash64("path", "seq").alias("ord"), "content", meta.alias("meta"), "seq")
 
 
 class Runner:
@@ -98,7 +98,8 @@ class Runner:
         raw = str(self.project.path("raw"))
         files = read_files(self.spark, raw)
         rows = segments_of(files)
-        rows = first_wins(rows.withColumn("h", segment_hash(F.col("content"), F.col("meta.image_paths"))), F.col("h"), "ord").drop("h")
+        rows = rows.withColumns({"h": segment_hash(F.col("content"), F.col("meta.image_paths")), "file": F.col("meta.source_filepath")})
+        rows = first_wins(rows, F.col("h"), "file", "seq").drop("h", "file", "seq")
         self._write(rows, "segments", by=None)
         for r in files.where(~F.col("ok")).select("path", "error").limit(100).collect():  # for the log
             self.log.warning("file left out", extra_data={"path": r.path, "error": r.error})

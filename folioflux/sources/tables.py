@@ -57,7 +57,7 @@ def write_enriched(chunks: DataFrame, path: str, overwrite: bool = False) -> lis
     spark = chunks.sparkSession
     there = set()
     if not overwrite and exists(spark, path):
-        there = {r.doc_type for r in spark.read.parquet(path).select("doc_type").distinct().collect()}  # types of documents: a few
+        there = {r.doc_type for r in spark.read.schema("doc_type string").parquet(path).distinct().collect()}  # types of documents: a few
     kinds = [r.doc_type for r in chunks.select("doc_type").distinct().collect() if r.doc_type not in there]
     if kinds:
         chunks.where(F.col("doc_type").isin(kinds)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type").parquet(path)
