@@ -24,6 +24,8 @@ from .shingles import _MIX, mix, word_array
 RUN = 12
 #: Sampled positions of an embedding in one key.
 SAMPLED = 4
+#: Tables whose keys are samples of one walk, which costs more than a sample.
+WALK_TABLES = 5
 #: Words of all items up to which their keys are broadcast (16 MB at most); beyond, keys are joined by shuffle.
 BROADCAST_WORDS = 1 << 20
 #: Bits (as a power of two) of the map of the items' keys by which a join's windows are sifted: 8 MB.
@@ -38,25 +40,31 @@ def sampled_steps(window: int, table: int, sampled: int = SAMPLED) -> list[int]:
     return sorted({int(rng.integers(int(a), max(int(a) + 1, int(b)))) for a, b in zip(cuts, cuts[1:])})
 
 
-def walk_keys(words: np.ndarray, window: int, table: int, sampled: int = SAMPLED) -> np.ndarray:
-    """Key of every window (by its first word) under one table's walk and sample."""
+def walk_keys(words: np.ndarray, window: int, tables: int, sampled: int = SAMPLED):
+    """(table, key of every window by its first word) of all tables; WALK_TABLES of them sample one walk."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    steps = sampled_steps(window, table, sampled)
-    key, at = np.zeros(n, np.uint64), np.arange(n)
-    end = at + window
-    held, bits = words, None
+        return
+    first = np.arange(n)
+    end = first + window
+    words = np.append(words, np.zeros(1, np.uint64))  # where a pointer stands that has left the last window
+    moved = np.empty(n, np.uint8)
     with np.errstate(over="ignore"):
-        for t in range(steps[-1] + 1):
-            if t % 64 == 0:  # 64 random bits a word at a time
-                bits = mix(words + _MIX * np.uint64(977 * (table + 1) + t // 64))
-            inside = at < end
-            here = np.minimum(at, len(words) - 1)
-            if t in steps:
-                key = mix(key * _MIX + np.where(inside, held[here], np.uint64(0)) + np.uint64(t + 1))
-            at += ((bits[here] >> np.uint64(t % 64)) & np.uint64(1)).astype(np.int64) & inside
-    return key
+        for walk in range(0, tables, WALK_TABLES):
+            steps = {k: sampled_steps(window, k, sampled) for k in range(walk, min(tables, walk + WALK_TABLES))}
+            keys, at = {k: np.zeros(n, np.uint64) for k in steps}, first.copy()
+            for t in range(max(s[-1] for s in steps.values()) + 1):
+                if t % 64 == 0:  # 64 random bits a word at a time
+                    bits = mix(words + _MIX * np.uint64(977 * (walk + 1) + t // 64))
+                due = [k for k, s in steps.items() if t in s]
+                if due:
+                    shown = np.where(at < end, words[at], np.uint64(0)) + np.uint64(t + 1)
+                for k in due:
+                    keys[k] = mix(keys[k] * _MIX + shown)
+                np.take(((bits >> np.uint64(t % 64)) & np.uint64(1)).astype(np.uint8), at, out=moved, mode="clip")
+                at += moved
+                np.minimum(at, end, out=at)
+            yield from keys.items()
 
 
 def tables_for(window: int, edits: int, recall: float, sampled: int = SAMPLED) -> int:
@@ -66,7 +74,9 @@ def tables_for(window: int, edits: int, recall: float, sampled: int = SAMPLED) -
     # An edit costs the walk about as many steps as it takes to fall into step again (about 8 of
     # 2 * window on average); a key survives if none of its samples lies there.
     clean = max(0.02, 1 - 8 * edits / (2 * window)) ** sampled
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - clean)))
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - clean)))
+    # Samples of one walk fail together where the walk does: a walk's worth in reserve.
+    return tables if tables <= 1 else (-(-tables // WALK_TABLES) + 1) * WALK_TABLES
 
 
 def edit_distance(a, b, most: int) -> int:
@@ -98,8 +108,8 @@ class ItemIndex:
         n = max(0, len(self.words) - window + 1)
         whole = np.nonzero(self.row[:n] == self.row[window - 1 :][:n])[0] if n else np.zeros(0, np.int64)
         self.tables = []
-        for k in range(tables):
-            keys = walk_keys(self.words, window, k)[whole]
+        for _, keys in walk_keys(self.words, window, tables):
+            keys = keys[whole]
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << 20, bool)
             seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -114,23 +124,52 @@ class ItemIndex:
         if n <= 0:
             return best
         whole = row[:n] == row[self.window - 1 :]
-        for k, (keys, places, seen) in enumerate(self.tables):
-            own = walk_keys(words, self.window, k)
+        met = []
+        for (keys, places, seen), (_, own) in zip(self.tables, walk_keys(words, self.window, len(self.tables))):
             at = np.nonzero(whole & seen[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
             lo, hi = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                mine = words[p : p + self.window]
-                for q in places[a:b].tolist():
-                    pair = (int(row[p]), int(self.row[q]))
-                    if best.get(pair, self.edits + 1) == 0:
-                        continue
-                    theirs = self.words[q : q + self.window]
-                    d = 0 if np.array_equal(mine, theirs) else self.edits + 1 if not self.edits else edit_distance(mine.tolist(), theirs.tolist(), self.edits)
-                    if d <= self.edits and d < best.get(pair, self.edits + 1):
-                        best[pair] = d
+            count = hi - lo
+            q = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            met.append(np.repeat(at, count) * len(self.words) + places[q])
+        if not met:  # no item has a window
+            return best
+        met = np.unique(np.concatenate(met))  # what several tables bring together is verified once
+        p, q = np.divmod(met, max(1, len(self.words)))
+        for i in range(0, len(met), 50_000):
+            d = edit_distances(words, p[i : i + 50_000], self.words, q[i : i + 50_000], self.window, self.edits)
+            ok = d <= self.edits
+            for pair, e in zip(zip(row[p[i : i + 50_000][ok]].tolist(), self.row[q[i : i + 50_000][ok]].tolist()), d[ok].tolist()):
+                if e < best.get(pair, self.edits + 1):
+                    best[pair] = e
         return best
 
 
+def edit_distances(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, window: int, most: int) -> np.ndarray:
+    """edit_distance() of the windows of a at p and of b at q, all pairs at once."""
+    if not most:
+        equal = np.ones(len(p), bool)
+        for k in range(window):
+            equal &= a[p + k] == b[q + k]
+        return np.where(equal, 0, 1)
+    far = most + 1
+    row = [np.full(len(p), o if o >= 0 else far, np.int16) for o in range(-most, most + 1)]  # by the difference of the places
+    for i in range(1, window + 1):
+        mine, new = a[p + i - 1], []
+        for o in range(-most, most + 1):
+            j = i + o
+            if j < 0 or j > window:
+                new.append(np.full(len(p), far, np.int16))
+                continue
+            best = np.full(len(p), min(i, far), np.int16) if j == 0 else row[o + most] + (mine != b[q + j - 1])
+            if o < most:
+                best = np.minimum(best, row[o + most + 1] + 1)
+            if o > -most and j > 0:
+                best = np.minimum(best, new[-1] + 1)
+            new.append(np.minimum(best, far).astype(np.int16))
+        row = new
+    return row[most]
+
+
 def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), norm_words(F.col(text)).alias("words"))
 
@@ -179,8 +218,8 @@ def _windows(df: DataFrame, window: int, tables: int) -> DataFrame:
                 if n <= 0:
                     continue
                 whole = np.nonzero(row[:n] == row[window - 1 :])[0]
-                for k in range(tables):
-                    keys = mix(walk_keys(words, window, k)[whole] + np.uint64(k))
+                for k, keys in walk_keys(words, window, tables):
+                    keys = mix(keys[whole] + np.uint64(k))
                     runs = [words[p : p + window].tobytes() for p in whole.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 2000][row[whole]]), pa.array(keys.view(np.int64)), pa.array(runs, pa.binary())], names=["id", "key", "run"])
 
