@@ -263,6 +263,73 @@ def new_text(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:
     return joined.select("ord", F.array_join(F.transform("b", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def aligned(tokens: list[str], mail: list[str], width: int = 4) -> list[int]:
+    """Place in a mail's tokens of every token of a text cut out of it, -1 where there is none.
+
+    Runs are followed as far as they go; a new one begins where `width` tokens stand in the mail
+    (the longest of such runs, the first of equal ones), shorter rests where a single token does."""
+    places: dict[tuple, list[int]] = {}
+    for n in {1, min(width, max(1, len(tokens)))}:
+        for i in range(len(mail) - n + 1):
+            places.setdefault(tuple(mail[i : i + n]), []).append(i)
+
+    def run(i: int, p: int) -> int:
+        n = 0
+        while i + n < len(tokens) and p + n < len(mail) and tokens[i + n] == mail[p + n]:
+            n += 1
+        return n
+
+    out, i = [-1] * len(tokens), 0
+    while i < len(tokens):
+        starts = places.get(tuple(tokens[i : i + width])) or places.get((tokens[i],)) or ()
+        best = max(starts, key=lambda p: (run(i, p), -p), default=-1)
+        n = run(i, best) if best >= 0 else 0
+        out[i : i + n] = range(best, best + n)
+        i += n or 1
+    return out
+
+
+def new_chunk_text(segments: DataFrame, chunks: DataFrame, model: str = str(MODEL)) -> DataFrame:
+    """(chunk_id, text, found): of every chunk made from a mail only what the mail's sender newly wrote, tokens between single spaces.
+
+    A chunk has lost its mail's line ends, so its tokens are laid beside those of the mail (the
+    segments whose source_filepath is the chunk's doc_id) and keep what their lines are there. found
+    is the share of its tokens that the mail has; of several mails under a path the one with most
+    counts, the first of equal ones. text is null where there is no such mail; '' where nothing is
+    new. Chunks of other documents, with a null text or without chunk_id have no row; repeated rows
+    have one; a chunk_id with different texts has one for each.
+    """
+    old = classified(segments, model, texts=False).where("old").groupBy("ord").agg(F.flatten(F.collect_list("lines")).alias("old"))
+    mail = segments.where((F.col("meta.content_type") == "email") & F.col("content").isNotNull() & F.col("ord").isNotNull())
+    mail = mail.select(F.col("meta.source_filepath").alias("doc_id"), "content", "ord").groupBy("doc_id", "content").agg(F.min("ord").alias("ord")).join(old, "ord", "left")
+    own = chunks.where("chunk_id is not null and text is not null and lower(doc_id) like '%.eml'").select("chunk_id", "doc_id", "text").distinct()
+    rows = own.join(mail, "doc_id", "left").select("chunk_id", F.xxhash64("text").alias("h"), "text", "ord", "content", "old")
+
+    def lay(batches):
+        for batch in batches:
+            out = []
+            for c, h, text, o, content, lines in zip(*(x.to_pylist() for x in batch.columns)):
+                if content is None:
+                    out.append((c, h, None, None, None))
+                    continue
+                gone, words, keep = set(lines or ()), [], []
+                for k, line in enumerate(content.split("\n"), 1):
+                    own = line.split()
+                    words += own
+                    keep += [k not in gone] * len(own)
+                tokens = text.split()
+                at = aligned(tokens, words)
+                new = [t for t, p in zip(tokens, at) if p < 0 or keep[p]]
+                out.append((c, h, o, sum(p >= 0 for p in at) / max(1, len(at)), " ".join(new)))
+            cols = list(zip(*out)) or [[]] * 5
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["chunk_id", "h", "ord", "found", "text"])
+
+    laid = rows.mapInArrow(lay, "chunk_id string, h long, ord long, found double, text string")
+    best = laid.groupBy("chunk_id", "h").agg(F.max_by(F.struct("text", "found"), F.struct("found", -F.col("ord"))).alias("b"))
+    return best.select("chunk_id", "b.text", F.coalesce("b.found", F.lit(0.0)).alias("found"))
+
+
 def _joined(parts: list[tuple[list[str], int, Block]]) -> tuple[str, list[int | None]]:
     lines, labels = [], []
     for part, y, _ in parts:

@@ -59,6 +59,10 @@ def p5_new_text(spark, d):
     return email_new_text.new_text(table(spark, d, "segments"))
 
 
+def p5_new_chunk_text(spark, d):
+    return email_new_text.new_chunk_text(table(spark, d, "segments"), table(spark, d, "chunks"))
+
+
 def p6_found(spark, d):
     return splitting.found(table(spark, d, "segments"), table(spark, d, "rules"))
 
@@ -119,6 +123,7 @@ QUERIES = {
     "p4_clusters": p4_clusters,
     "p5_found": p5_found,
     "p5_new_text": p5_new_text,
+    "p5_new_chunk_text": p5_new_chunk_text,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,

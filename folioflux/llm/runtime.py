@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..shared import exists, new_path, remove, written  # noqa: F401 - for the other modules
+
 #: A word is a longest run of Unicode letters and digits in the lower-cased text.
 _WORD = re.compile(r"[^\W_]+")
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -34,44 +34,6 @@ def spread(df: DataFrame, by=None) -> DataFrame:
     return df.repartition(cores, *by) if by else df.repartition(cores)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of our
-    own on a single machine; on a cluster that raises, as executors could not read each other's folders."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="folioflux-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
-    """Delete a folder, or (at_exit) when the session's JVM ends."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.deleteOnExit(where) if at_exit else files.delete(where, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives a lost executor. Deleted when the session ends."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition) if partition else out).parquet(path)
-    remove(spark, path, at_exit=True)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_words(df: DataFrame, least: int, text: str = "text") -> DataFrame:
     """df with cls and words in place of a text: words are the text's lower-cased words between single
     spaces, cls a hash of them; both null where the text is null or has fewer than so many words."""

@@ -348,6 +348,18 @@ def test_recall_is_reached(spark):
     assert all({r.other for r in exact if r.vec_pos == i} == true(i) for i in range(40))
 
 
+def test_new_text_of_chunks(spark):
+    assert email_new_text.aligned("b c d x d".split(), "a b c d".split()) == [1, 2, 3, -1, 3] and email_new_text.aligned([], ["a"]) == [] and email_new_text.aligned(["a"], []) == [-1]
+    mail = "Hello Tom,\n\nthe pump is ready for the test today.\n\nOn 1/2/2025 at 10:30, Tom wrote:\n> is the pump ready for\n> the test?\n\nRegards\nAnna Blum"
+    meta = "struct<content_type:string,source_filepath:string>"
+    seg = spark.createDataFrame([(1, mail, ("email", "in/a.eml")), (2, mail, ("email", "in/a.eml")), (3, "Other text here.", ("email", "in/a.eml")), (4, None, ("email", "in/b.eml"))], f"ord long, content string, meta {meta}")
+    words = mail.split()
+    rows = [("w", "in/a.eml", " ".join(words)), ("w", "in/a.eml", " ".join(words)), ("p", "in/a.eml", " ".join(words[5:20])), ("q", "in/a.eml", "> is the pump ready for > the test?"), ("b", "in/b.eml", "x"), ("n", "in/a.eml", None), ("o", "in/a.txt", "x"), (None, "in/a.eml", "x")]
+    got = {r.chunk_id: r for r in email_new_text.new_chunk_text(seg, spark.createDataFrame(rows, "chunk_id string, doc_id string, text string")).collect()}
+    assert sorted(got) == ["b", "p", "q", "w"] and got["w"].text == "Hello Tom, the pump is ready for the test today." and got["w"].found == 1
+    assert got["p"].text == "ready for the test today." and got["q"].text == "" and got["b"].text is None and got["b"].found == 0
+
+
 def test_frequent_wordings_in_parts(spark, monkeypatch):
     seg = spark.createDataFrame([(i, f"Hello {i}, the pump number {i} is ready.\n\nRegards\nAnna {i % 2}", ("email",)) for i in range(30)], "ord long, content string, meta struct<content_type:string>")
     plain = sorted(email_new_text.with_counts(email_new_text.block_rows(seg)).select("ord", "block_no", "f").collect())
