@@ -149,12 +149,12 @@ def sure_label(f) -> int | None:
     return None
 
 
-def fit(pages: list[str]) -> dict:
-    """Start, transition and emission log-probabilities, counted on the sure units."""
+def fit(pages: list[str], rounds: int = 4) -> dict:
+    """Start, transition and emission log-probabilities: counted on the sure units, then re-estimated on all (Baum-Welch)."""
     k, n = len(STATES), 4
     start, move, emit = np.ones(k), np.ones((k, k)), np.ones((len(FEATURES), k, n))
-    observed = [features(u)[1] for u in map(units, pages) if u]
-    for obs in observed:
+    observed = [features(u) for u in map(units, pages) if u]
+    for _, obs in observed:
         before = None
         for f in obs:
             s = sure_label(f)
@@ -166,6 +166,43 @@ def fit(pages: list[str]) -> dict:
                 else:
                     move[before, s] += 1
             before = s if s is not None else before
+    model = _logs(start, move, emit)
+    for _ in range(rounds):
+        model = re_estimated(model, observed)
+    return model
+
+
+def re_estimated(model: dict, observed: list[tuple[list[int], list[tuple[int, ...]]]]) -> dict:
+    """One round of Baum-Welch over pages of (words, features) by unit; a sure unit keeps its label.
+
+    What a unit emits counts in proportion to its words, as in best_paths()."""
+    k, n = len(STATES), 4
+    start, move, emit = np.ones(k), np.ones((k, k)), np.ones((len(FEATURES), k, n))
+    first, step = np.exp(model["start"]), np.exp(model["move"])
+    each = np.arange(len(FEATURES))
+    for words, rows in observed:
+        f = np.array(rows, np.int64)
+        weight = np.minimum(1, np.array(words, np.float64) / WEIGHTY)
+        log = model["emit"][each, :, f].sum(1) * weight[:, None]
+        e = np.exp(log - log.max(1, keepdims=True))
+        for i, s in enumerate(map(sure_label, rows)):
+            if s is not None:
+                e[i] = np.arange(k) == s
+        size = len(f)
+        ahead, scale, back = np.empty((size, k)), np.empty(size), np.ones((size, k))
+        for i in range(size):
+            x = (first if i == 0 else ahead[i - 1] @ step) * e[i]
+            scale[i] = x.sum()
+            ahead[i] = x / scale[i]
+        for i in range(size - 2, -1, -1):
+            back[i] = step @ (e[i + 1] * back[i + 1]) / scale[i + 1]
+        share = ahead * back
+        share /= share.sum(1, keepdims=True)
+        start += share[0]
+        if size > 1:
+            move += np.einsum("ti,ij,tj->ij", ahead[:-1], step, e[1:] * back[1:] / scale[1:, None])
+        for j in range(len(FEATURES)):
+            np.add.at(emit[j].T, f[:, j], share * weight[:, None])
     return _logs(start, move, emit)
 
 
