@@ -724,3 +724,46 @@ def metadata_lines(spark, d):
     rows.select(F.to_json(F.struct("id", "description")).alias("value")).unionAll(spark.createDataFrame([('{"id": "cut',)], "value string")).write.text(where)
     remove(spark, where, at_exit=True)
     return read_metadata(spark, where, "id string, description string")
+
+
+@query("""SELECT DISTINCT chunk_id, doc_type FROM (SELECT chunk_id, coalesce(meta_json[1:0] || split_part(doc_id, '.', -1), '') AS doc_type FROM chunks WHERE chunk_id IS NOT NULL AND doc_id IS NOT NULL AND meta_json IS NOT NULL) WHERE regexp_full_match(doc_type, '[a-z]+')""")
+def chunk_files(spark, d):
+    """Chunks in a file family by document type (here the suffix of their file), found by name and read again; rows cut short are passed over."""
+    from .shared import new_path, remove
+    from .sources.tables import chunk_files as files, read_chunk_files
+
+    where = new_path(spark, "chunk-files")
+    rows = _t(spark, d, "chunks").where("chunk_id is not null and doc_id is not null and meta_json is not null").select("chunk_id", F.substring_index("doc_id", ".", -1).alias("doc_type")).where("doc_type rlike '^[a-z]+$'").distinct()
+    head, good = "chunk_id\tdoc_id\ttext\ttoken_count\tmeta_json", F.concat_ws("\t", "chunk_id", F.lit("d"), F.lit("t"), F.lit("1"), F.lit("{}"))
+    for r in rows.select("doc_type").distinct().orderBy("doc_type").collect():  # suffixes of files: a few
+        lines = rows.where(F.col("doc_type") == r.doc_type).select(F.concat(good, F.lit("\nshort\trow")).alias("value"), F.lit(1).alias("o"))
+        spark.createDataFrame([(head, 0)], "value string, o int").unionAll(lines).repartition(1).sortWithinPartitions("o").select("value").write.text(f"{where}/chunks_{r.doc_type}.tsv")
+    remove(spark, where, at_exit=True)
+    return read_chunk_files(spark, where, lenient=True).where("doc_id = 'd'").join(files(spark, where).select("doc_type"), "doc_type").select("chunk_id", "doc_type").distinct()
+
+
+@query(f"SELECT DISTINCT chunk_id, len(text)::INT AS characters, len({_tok('text')})::INT AS tokens FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL")
+def embed_contract(spark, d):
+    """A plug-in embedder whose vectors are (characters, tokens): called in batches, one vector a text, in order."""
+    import numpy as np
+
+    rows = _t(spark, d, "chunks").where("chunk_id is not null and text is not null").select("chunk_id", "text").distinct()
+    done = M.embedded(rows, lambda: lambda texts: np.array([[len(t), len(t.split())] for t in texts], np.float32), batch_size=64)
+    return done.select("chunk_id", F.col("embedding")[0].cast("int").alias("characters"), F.col("embedding")[1].cast("int").alias("tokens"))
+
+
+@query(f"""WITH {_USABLE} SELECT query_id, chunk_id, min(rank)::INT AS rank, round(arg_max(distance, rank), 6) AS distance FROM
+       (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_pos) AS rank FROM d) WHERE rank <= 20 AND chunk_id IS NOT NULL GROUP BY query_id, chunk_id""")
+def id_collapse(spark, d):
+    hits = V.strategy("late_fusion")(_asked(spark, d), _t(spark, d, "vectors"), 20).where("chunk_id is not null")
+    return V.collapsed(hits).select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query("""SELECT chunk_id, (unnest(range(len(p))))::INT AS pos, unnest(p) AS image_path, unnest(p) || ': ' || n AS description FROM
+       (SELECT c.chunk_id, list_sort(list(DISTINCT i.image_path)) AS p, len(any_value(c.t)[1:500]) AS n FROM (SELECT chunk_id, min(coalesce(text, '')) AS t FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1) AS c
+        JOIN images AS i ON i.source_chunk_id = c.chunk_id WHERE i.image_path IS NOT NULL GROUP BY c.chunk_id)""")
+def image_captions(spark, d):
+    """A plug-in captioner that says an image's path and how much text stands beside it."""
+    texts = _t(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    paths = _t(spark, d, "images").where("image_path is not null").groupBy(F.col("source_chunk_id").alias("chunk_id")).agg(F.sort_array(F.collect_set("image_path")).alias("image_paths"))
+    return E.captions(texts.join(paths, "chunk_id"), lambda: lambda path, text: f"{path}: {len(text)}")

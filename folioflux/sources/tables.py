@@ -40,15 +40,17 @@ def with_meta(chunks: DataFrame, schema: str = "map<string,string>", strict: boo
 
 
 def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, doc_type) of the chunk files chunks_<doc_type>.tsv in a folder; the type is what follows the first underscore."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "chunks_*.tsv").load(folder).select("path")
-    return files.select("path", F.regexp_extract("path", r"/chunks_([^/]*)\.tsv$", 1).alias("doc_type"))
+    """(path, doc_type) of the chunk files (or folders of parts) chunks_<doc_type>.tsv in a folder; the type is what follows the first underscore."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/chunks_*.tsv")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    paths = [(f.getPath().toString(), f.getPath().getName()[len("chunks_") : -len(".tsv")]) for f in found]
+    return spark.createDataFrame(sorted(paths), "path string, doc_type string")
 
 
 def read_chunk_files(spark: SparkSession, folder: str, lenient: bool = False) -> DataFrame:
     """Chunks of all chunk files in a folder, with the doc_type of their file."""
     rows = read_chunk_tsv(spark, f"{folder.rstrip('/')}/chunks_*.tsv", lenient)
-    name = F.regexp_extract(F.input_file_name(), r"/chunks_([^/]*)\.tsv$", 1)
+    name = F.regexp_extract(F.input_file_name(), r"/chunks_([^/]*)\.tsv(?:/[^/]*)?$", 1)
     return rows.withColumn("doc_type", F.url_decode(name))
 
 

@@ -140,3 +140,55 @@ def test_chunk_files(spark, tmp_path):
     assert sorted(r.doc_type for r in chunk_files(spark, str(tmp_path)).collect()) == ["pdf_x", "txt"]
     got = {r.chunk_id: (r.doc_type, r.meta) for r in with_meta(read_chunk_files(spark, str(tmp_path))).collect()}
     assert got["c"] == ("pdf_x", {"a": "b"}) and got["e"][0] == "txt" and not got["e"][1]
+
+
+def compound(named: dict[str, bytes]) -> bytes:
+    """A compound file of a few streams: short ones among the small sectors."""
+    import struct
+
+    end, free, size = 0xFFFFFFFE, 0xFFFFFFFF, 512
+    small, mini_fat, large, rows = b"", [], [], []
+    for name, x in named.items():
+        if len(x) < 4096:
+            n = -(-len(x) // 64)
+            rows.append((name, len(mini_fat) if n else end, len(x)))
+            mini_fat += [len(mini_fat) + i + 1 for i in range(n - 1)] + [end] * bool(n)
+            small += x.ljust(n * 64, b"\0")
+        else:
+            rows.append((name, ("large", len(large)), len(x)))
+            large.append(x)
+    pad = lambda x: x.ljust(-(-len(x) // size) * size, b"\0")
+    sectors, fat = [], []
+
+    def put(x: bytes) -> int:
+        first, n = len(sectors), len(pad(x)) // size
+        sectors.extend(pad(x)[i * size : (i + 1) * size] for i in range(n))
+        fat.extend([first + i + 1 for i in range(n - 1)] + [end])
+        return first
+
+    fat.append(0xFFFFFFFD)
+    sectors.append(b"")
+    packed, mini = put(small or b"\0"), put(b"".join(struct.pack("<I", i) for i in mini_fat).ljust(size, b"\xff"))
+    places = [put(x) for x in large]
+    entry = lambda name, kind, right, child, start, held: (name.encode("utf-16-le") + b"\0\0").ljust(64, b"\0") + struct.pack("<HBB3I", len(name) * 2 + 2, kind, 1, free, right, child) + b"\0" * 36 + struct.pack("<IQ", start, held)
+    names = [entry("Root Entry", 5, free, 1, packed, len(small))]
+    names += [entry(n, 2, i + 2 if i + 1 < len(rows) else free, free, places[s[1]] if isinstance(s, tuple) else s, held) for i, (n, s, held) in enumerate(rows)]
+    directory = put(b"".join(names))
+    sectors[0] = b"".join(struct.pack("<I", i) for i in fat).ljust(size, b"\xff")
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<5H", 62, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<9I", 0, 1, directory, 0, 4096, mini, 1, end, 0) + struct.pack("<I", 0).ljust(4, b"\0")
+    return (head + b"\xff" * (size - len(head))) + b"".join(sectors)
+
+
+def test_messages_become_mails():
+    from folioflux.sources.msg import MsgError, msg_to_eml, streams
+
+    body = "Hello,\r\n\r\n" + "the pump is ready. " * 300
+    named = {"__substg1.0_0037001F": "A subject".encode("utf-16-le"), "__substg1.0_1000001F": body.encode("utf-16-le"), "__substg1.0_0C1A001E": b"Anna Blum", "__substg1.0_0C1F001F": "a.blum@x.test".encode("utf-16-le"), "__substg1.0_0E04001F": "b@x.test".encode("utf-16-le"), "empty": b""}
+    data = compound(named)
+    assert streams(data) == named
+    mail = msg_to_eml(data)
+    assert loaders.load_eml(mail, "m.eml")[0][0] == body.replace("\r\n", "\n").strip()
+    assert b"Subject: A subject" in mail and b"a.blum@x.test" in mail and b"To: b@x.test" in mail
+    for bad in (b"", b"no", data[:300]):
+        with pytest.raises(MsgError):
+            streams(bad)
