@@ -24,7 +24,7 @@ from .runtime import exists, new_path, remove, with_words, written
 
 #: Tables of a history; each has a folder for every delivery, that of the state is written last.
 TABLES = {
-    "rows": "chunk_id string, batch_id int, cls long",
+    "rows": "chunk_id string, batch_id int, doc_id string, cls long, n int",
     "texts": "cls long, words string, first_batch int",
     "keys": "token long, cls long, meta long, bits binary",
     "links": "a long, b long, common int, size_a int, size_b int",
@@ -73,15 +73,21 @@ class History:
     links = property(lambda self: self._read("links"))
 
     def admit(self, rows: DataFrame) -> None:
-        """Take in rows (chunk_id, batch_id, text): write their keys, texts, chunk_ids, links and what the links join."""
-        rows = rows.where(F.col("batch_id").isNotNull()).select("chunk_id", "batch_id", "text")
-        cut = written(with_words(rows, LEAST_WORDS), "delivery")
-        self._write(cut.where("chunk_id is not null").select("chunk_id", "batch_id", "cls").distinct(), "rows")
+        """Take in rows (chunk_id, batch_id, text and, if there is one, doc_id): write their keys, texts, chunk_ids, links and what the links join."""
+        doc_id = F.col("doc_id") if "doc_id" in rows.columns else F.lit(None).cast("string")
+        rows = rows.where(F.col("batch_id").isNotNull()).select("chunk_id", "batch_id", doc_id.alias("doc_id"), "text")
+        n = F.when(F.col("words").isNull(), 0).otherwise(F.size(F.split("words", " ")))
+        cut = with_words(rows, 1).withColumn("n", n).withColumn("cls", F.when(F.col("n") >= LEAST_WORDS, F.col("cls")))
+        delivery = new_path(self.spark, "delivery")
+        cut.write.option("compression", "zstd").parquet(delivery)
+        cut = self.spark.read.schema(cut.schema).parquet(delivery)
+        self._write(cut.where("chunk_id is not null").select("chunk_id", "batch_id", "doc_id", "cls", "n").distinct(), "rows")
         fresh = cut.where("cls is not null").groupBy("cls", "words").agg(F.min("batch_id").alias("first_batch"))
         if self.parts:
             known = membership.split(self.texts.select("cls"), membership.of(cut.select("cls")))
             fresh = fresh.join(known, "cls", "left_anti")
         fresh = self._write(fresh, "texts")
+        remove(self.spark, delivery)
         seen = sketch(fresh, WIDTH)
         if not self.parts:
             self.order, self.counted = seen, np.zeros_like(seen)
@@ -153,7 +159,7 @@ def clustered_rows(chunks: DataFrame) -> DataFrame:
     roots = history.clusters()
     heads = roots.join(named, F.col("node") == F.col("cls")).groupBy("root").agg(F.min("class_id").alias("head"))
     classes = named.join(roots, F.col("cls") == F.col("node"), "left").join(heads, "root", "left").select("cls", "class_id", F.coalesce("head", "class_id").alias("cluster"))
-    rows = history.rows.where("cls is not null").distinct()
+    rows = history.rows.where("cls is not null").select("batch_id", "chunk_id", "cls").distinct()
     return rows.join(classes, "cls").select("batch_id", "chunk_id", "class_id", "cluster")
 
 
@@ -195,7 +201,7 @@ def match_weights(patterns: list[tuple[tuple, int]], rounds: int = 50) -> list[d
     return [{v: math.log2(m[k][v] / u[k][v]) for v in values[k]} for k in range(fields)]
 
 
-def earlier_pairs(history: History, chunks: DataFrame) -> DataFrame:
+def earlier_pairs(history: History) -> DataFrame:
     """Rows of later batches beside earlier rows with their chunk_id or a text like theirs, with the compared fields.
 
     (batch_id, chunk_id, earlier_batch_id, earlier_chunk_id, jaccard, f0 .. f3): Jaccard in tenths
@@ -205,9 +211,7 @@ def earlier_pairs(history: History, chunks: DataFrame) -> DataFrame:
     among the first two chunk_ids of their file and the first two files of their chunk_id (a row's
     own file and chunk_id hide four at most), two by the row's file, and all texts of its chunk_id.
     """
-    rows = with_words(chunks.where("chunk_id is not null and batch_id is not null").select("chunk_id", "batch_id", "doc_id", "text"), 1)
-    n = F.when(F.col("words").isNull(), 0).otherwise(F.size(F.split("words", " ")))
-    rows = rows.select("chunk_id", "batch_id", "doc_id", F.when(n >= LEAST_WORDS, F.col("cls")).alias("cls"), n.alias("n")).distinct()
+    rows = history.rows.distinct()
     firsts = rows.groupBy("cls", "doc_id", "chunk_id", "n").agg(F.min("batch_id").alias("batch_id"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("batch_id", "chunk_id", F.col("doc_id").asc_nulls_last()))
     in_file = firsts.where("cls is not null").withColumn("r", rank("cls", "doc_id")).where("r <= 2").drop("r")
@@ -242,7 +246,7 @@ def scored_links(chunks: DataFrame) -> DataFrame:
     history = History(chunks.sparkSession, clustered=False, within=True)
     history.admit(chunks.where("batch_id = 0"))
     history.admit(chunks.where("batch_id > 0"))
-    pairs = written(earlier_pairs(history, chunks), "earlier-pairs")
+    pairs = written(earlier_pairs(history), "earlier-pairs")
     patterns = [((r.f0, r.f1, r.f2, r.f3), r.n) for r in pairs.groupBy("f0", "f1", "f2", "f3").agg(F.count("*").alias("n")).collect()]
     weights = match_weights(sorted(patterns))
     score = F.lit(0.0)

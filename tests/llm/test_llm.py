@@ -189,7 +189,7 @@ def test_links_are_those_of_the_found_rows(spark):
                     k = (b, c, j, int(d is not None and d == d2), int(abs(len(key(t2)) - n) * 10 <= n), int(c == c2))
                     first[k] = min(first.get(k, (99, "")), (b2, c2))
     have = {}
-    for r in incremental.earlier_pairs(history, df).collect():
+    for r in incremental.earlier_pairs(history).collect():
         k = (r.batch_id, r.chunk_id, r.f0, r.f1, r.f2, r.f3)
         have[k] = min(have.get(k, (99, "")), (r.earlier_batch_id, r.earlier_chunk_id))
     assert have == first and first[2, "A", 10, 1, 1, 0] == (1, "B")
