@@ -93,7 +93,7 @@ def codebook_size(count: int) -> int:
 def entries_needed(entries: DataFrame, books, filled: np.ndarray, k: int, most: float | None, dim: int, recall: float) -> int:
     """Entries that a traversal must pass for the recall, by the true neighbours of a bounded sample of queries.
 
-    The neighbours are found by one scan of all entries, of which every task sends k + 1 a query."""
+    The neighbours are found by one scan of all entries, of which every task sends k a query."""
     spark, half = entries.sparkSession, dim // 2
     sample = entries.select("h1", "h2", "v").orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(TRIALS).collect()
     x = np.frombuffer(b"".join(bytes(r.v) for r in sample), np.float32).reshape(-1, dim)
@@ -103,19 +103,21 @@ def entries_needed(entries: DataFrame, books, filled: np.ndarray, k: int, most:
 
     def scan(batches):
         x, own = shared.value
+        best, cells = np.full((len(x), k), np.inf), np.zeros((len(x), k, 2), np.int32)
         for batch in batches:
             if not batch.num_rows:
                 continue
             y = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, dim)
-            d = distances(x, y)
+            d = distances(x, y).astype(np.float64)
             d[(own[:, :1] == batch.column(0).to_numpy()[None]) & (own[:, 1:] == batch.column(1).to_numpy()[None])] = np.inf
-            n = min(k, d.shape[1])
-            best = np.argpartition(d, n - 1, axis=1)[:, :n]
-            q, e = np.repeat(np.arange(len(x)), n), best.reshape(-1)
-            keep = d[q, e] <= (limit if np.isfinite(limit) else np.finfo(np.float32).max)
-            q, e = q[keep], e[keep]
-            at = pa.array(e)
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(d[q, e].astype(np.float64)), batch.column(3).take(at), batch.column(4).take(at)], names=["q", "d", "c1", "c2"])
+            here = np.broadcast_to(np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()], 1), (len(x), len(y), 2))
+            near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+            d = np.concatenate([best, np.take_along_axis(d, near, 1)], 1)
+            here = np.concatenate([cells, np.take_along_axis(here, near[:, :, None], 1)], 1)
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            best, cells = np.take_along_axis(d, near, 1), np.take_along_axis(here, near[:, :, None], 1)
+        q, e = np.nonzero(best <= (limit if np.isfinite(limit) else np.finfo(np.float32).max))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, e]), pa.array(cells[q, e, 0]), pa.array(cells[q, e, 1])], names=["q", "d", "c1", "c2"])
 
     near = entries.select("h1", "h2", "v", "c1", "c2").mapInArrow(scan, "q int, d double, c1 int, c2 int")
     near = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "c1", "c2"))), 1, k).alias("hits")).collect()  # k rows a sampled query
