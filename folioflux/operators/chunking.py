@@ -75,7 +75,7 @@ def reject_reason(doc_type: Column, strategy: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value) with the value worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -111,9 +111,9 @@ def merged(parts: Column, low: Column, high: Column, overlap: Column, has_images
     def chunks(each: Column) -> Column:
         runs = F.when(F.size(each) > 0, F.aggregate(F.transform(each, F.size), zero, step, finish)).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
         cut = lambda every: F.transform(runs, lambda r: F.struct(F.array_join(F.slice(every, r["at"] + 1, r["n"]), " ").alias("text"), r["n"].alias("token_count")))
-        return F.when(each.isNotNull(), _let(F.flatten(each), cut))
+        return F.when(each.isNotNull(), let(F.flatten(each), cut))
 
-    return _let(F.transform(parts, tokens), chunks)
+    return let(F.transform(parts, tokens), chunks)
 
 
 def chunk_id(doc_id, ord_, seq, text) -> Column:
