@@ -76,8 +76,7 @@ class History:
         """Take in rows (chunk_id, batch_id, text and, if there is one, doc_id): write their keys, texts, chunk_ids, links and what the links join."""
         doc_id = F.col("doc_id") if "doc_id" in rows.columns else F.lit(None).cast("string")
         rows = rows.where(F.col("batch_id").isNotNull()).select("chunk_id", "batch_id", doc_id.alias("doc_id"), "text")
-        n = F.when(F.col("words").isNull(), 0).otherwise(F.size(F.split("words", " ")))
-        cut = with_words(rows, 1).withColumn("n", n).withColumn("cls", F.when(F.col("n") >= LEAST_WORDS, F.col("cls")))
+        cut = with_words(rows, LEAST_WORDS, counted=True)
         delivery = new_path(self.spark, "delivery")
         cut.write.option("compression", "zstd").parquet(delivery)
         cut = self.spark.read.schema(cut.schema).parquet(delivery)

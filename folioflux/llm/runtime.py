@@ -34,17 +34,20 @@ def spread(df: DataFrame, by=None) -> DataFrame:
     return df.repartition(cores, *by) if by else df.repartition(cores)
 
 
-def with_words(df: DataFrame, least: int, text: str = "text") -> DataFrame:
+def with_words(df: DataFrame, least: int, text: str = "text", counted: bool = False) -> DataFrame:
     """df with cls and words in place of a text: words are the text's lower-cased words between single
-    spaces, cls a hash of them; both null where the text is null or has fewer than so many words."""
+    spaces, cls a hash of them; both null where the text is null or has fewer than so many words.
+    counted: with n, the number of the text's words, 0 for a null text."""
     keep = [c for c in df.columns if c != text]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("cls", T.LongType()), T.StructField("words", T.StringType())])
+    count = [T.StructField("n", T.IntegerType())] * counted
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("cls", T.LongType()), T.StructField("words", T.StringType()), *count])
 
     def run(batches):
         for batch in batches:
-            cls, words = [], []
+            cls, words, n = [], [], []
             for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 own = _WORD.findall(t.lower()) if t else ()
+                n.append(len(own))
                 if len(own) >= max(1, least):
                     w = " ".join(own)
                     words.append(w)
@@ -52,7 +55,7 @@ def with_words(df: DataFrame, least: int, text: str = "text") -> DataFrame:
                 else:
                     words.append(None)
                     cls.append(None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(cls, pa.int64()), pa.array(words, pa.string())], names=[*keep, "cls", "words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(cls, pa.int64()), pa.array(words, pa.string()), *[pa.array(n, pa.int32())] * counted], names=schema.names)
 
     return spread(df.select(*keep, text)).mapInArrow(run, schema)
 

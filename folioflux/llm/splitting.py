@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import stripped, token_count
 from ..functions.whitespace import NOT_WS, WS, WS_CHARS
-from ..operators.chunking import items
+from ..operators.chunking import items, let
 from ..operators.rules import with_rule
 
 #: Characters of one token beyond which it is cut inside (a piece of a text without white space).
@@ -44,27 +44,30 @@ def pieces(item: Column, most: Column, overlap: Column) -> Column:
     most. A blank item gives none, null gives null.
     """
     shared = F.greatest(F.lit(0), F.least(overlap, most - 1))
-    whole = stripped(item)
-    spaced = F.regexp_extract_all(whole, F.lit(f"({NOT_WS}+{WS}*)"), F.lit(1))
-    above = F.size(spaced) > most
+    kind = "array<struct<text:string,tokens:int,overlap:int,start:int>>"
     # Pieces are sliced from the same runs of characters as those of which they are counted.
     run = f"{NOT_WS}{{1,{TOKEN_CHARS}}}+"
-    spaced = F.when(above, F.regexp_extract_all(whole, F.lit(f"({run}{WS}*)"), F.lit(1))).otherwise(spaced)
-    cut = F.when(
-        above,
-        F.transform(F.regexp_extract_all(whole, piece_pattern(most - shared), F.lit(0)), lambda p: F.regexp_count(p, F.lit(run))),
-    ).otherwise(F.array(F.size(spaced)))
     start = F.struct(F.array().cast("array<struct<start:int,n:int>>").alias("a"), F.lit(0).alias("at"))
-    places = F.aggregate(
-        cut, start, lambda acc, n: F.struct(F.concat(acc["a"], F.array(F.struct(acc["at"].alias("start"), n.alias("n")))).alias("a"), (acc["at"] + n).alias("at")), lambda acc: acc["a"]
-    )
 
-    def piece(p: Column) -> Column:
-        back = F.least(shared, p["start"])
-        text = F.array_join(F.slice(spaced, p["start"] - back + 1, p["n"] + back), "")
-        return F.struct(stripped(text).alias("text"), (p["n"] + back).alias("tokens"), back.alias("overlap"), p["start"].alias("start"))
+    def cut(whole: Column) -> Column:
+        counts = F.transform(F.regexp_extract_all(whole, piece_pattern(most - shared), F.lit(0)), lambda p: F.regexp_count(p, F.lit(run)))
+        places = F.aggregate(
+            counts, start, lambda acc, n: F.struct(F.concat(acc["a"], F.array(F.struct(acc["at"].alias("start"), n.alias("n")))).alias("a"), (acc["at"] + n).alias("at")), lambda acc: acc["a"]
+        )
 
-    return F.when(F.size(spaced) == 0, F.array().cast("array<struct<text:string,tokens:int,overlap:int,start:int>>")).otherwise(F.transform(places, piece))
+        def piece(spaced: Column, p: Column) -> Column:
+            back = F.least(shared, p["start"])
+            text = F.array_join(F.slice(spaced, p["start"] - back + 1, p["n"] + back), "")
+            return F.struct(stripped(text).alias("text"), (p["n"] + back).alias("tokens"), back.alias("overlap"), p["start"].alias("start"))
+
+        return let(F.regexp_extract_all(whole, F.lit(f"({run}{WS}*)"), F.lit(1)), lambda spaced: F.transform(places, lambda p: piece(spaced, p)))
+
+    def of(whole: Column) -> Column:
+        one = lambda n: F.array(F.struct(whole.alias("text"), n.alias("tokens"), F.lit(0).alias("overlap"), F.lit(0).alias("start")))
+        choose = lambda n: F.when(n == 0, F.array()).when(n <= most, one(n)).otherwise(cut(whole))
+        return let(F.regexp_count(whole, F.lit(f"{NOT_WS}+")), choose)
+
+    return F.when(item.isNotNull(), let(stripped(item), of)).cast(kind)
 
 
 def oversized(segments: DataFrame, rules: DataFrame, distinct: bool = True) -> DataFrame:
