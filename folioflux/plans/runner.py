@@ -50,7 +50,7 @@ class Runner:
         self.embed = embed or embedder(lookup(self.config, "embedding", {}))
         self.caption, self.complete, self.translate = caption, complete, translate
         self.run_id, self.model, self.steps = run_id or time.strftime("run_%Y%m%d_%H%M%S"), None, []
-        self.log = logger(f"runner.{project.root.name}", project.log_path("pipeline"), run_id=self.run_id)
+        self.log = logger(f"runner.{project.root.resolve()}", project.log_path("pipeline"), run_id=self.run_id)
         self.found: DataFrame | None = None
         self.answer: Answer | None = None
 
