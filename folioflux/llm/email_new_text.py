@@ -263,28 +263,56 @@ def new_text(segments: DataFrame, model: str = str(MODEL)) -> DataFrame:
     return joined.select("ord", F.array_join(F.transform("b", lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def aligned(tokens: list[str], mail: list[str], width: int = 4) -> list[int]:
+class Runs:
+    """Longest runs of a token list from any place of another, by a suffix automaton of the list: linear in both."""
+
+    def __init__(self, tokens: list[str]):
+        self.next, self.link, self.length, self.end = [{}], [-1], [0], [0]
+        last = 0
+        for place, t in enumerate(tokens, 1):
+            new = self._state({}, self.length[last] + 1, place)
+            p = last
+            while p >= 0 and t not in self.next[p]:
+                self.next[p][t] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            else:
+                q = self.next[p][t]
+                if self.length[p] + 1 != self.length[q]:
+                    copy = self._state(dict(self.next[q]), self.length[p] + 1, self.end[q])
+                    self.link[copy] = self.link[q]
+                    while p >= 0 and self.next[p].get(t) == q:
+                        self.next[p][t] = copy
+                        p = self.link[p]
+                    self.link[q] = copy
+                    q = copy
+                self.link[new] = q
+            last = new
+
+    def _state(self, after: dict, length: int, end: int) -> int:
+        self.next.append(after)
+        self.link.append(-1)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest(self, tokens: list[str], i: int) -> tuple[int, int]:
+        """(first place in the list, length) of the longest run that tokens have from i on."""
+        state = n = 0
+        while i + n < len(tokens) and (to := self.next[state].get(tokens[i + n])) is not None:
+            state, n = to, n + 1
+        return self.end[state] - n, n
+
+
+def aligned(tokens: list[str], mail: list[str]) -> list[int]:
     """Place in a mail's tokens of every token of a text cut out of it, -1 where there is none.
 
-    Runs are followed as far as they go; a new one begins where `width` tokens stand in the mail
-    (the longest of such runs, the first of equal ones), shorter rests where a single token does."""
-    places: dict[tuple, list[int]] = {}
-    for n in {1, min(width, max(1, len(tokens)))}:
-        for i in range(len(mail) - n + 1):
-            places.setdefault(tuple(mail[i : i + n]), []).append(i)
-
-    def run(i: int, p: int) -> int:
-        n = 0
-        while i + n < len(tokens) and p + n < len(mail) and tokens[i + n] == mail[p + n]:
-            n += 1
-        return n
-
-    out, i = [-1] * len(tokens), 0
+    From the left, the longest run that the mail has is taken each time, where it stands first."""
+    runs, out, i = Runs(mail), [-1] * len(tokens), 0
     while i < len(tokens):
-        starts = places.get(tuple(tokens[i : i + width])) or places.get((tokens[i],)) or ()
-        best = max(starts, key=lambda p: (run(i, p), -p), default=-1)
-        n = run(i, best) if best >= 0 else 0
-        out[i : i + n] = range(best, best + n)
+        at, n = runs.longest(tokens, i)
+        out[i : i + n] = range(at, at + n)
         i += n or 1
     return out
 

@@ -176,6 +176,21 @@ def _tokens(x: str) -> str:
     return f"len(list_filter(regexp_split_to_array({x}, '{WS_SQL}+'), lambda t: t <> ''))"
 
 
+_ITEMS = f"""s AS (SELECT DISTINCT ord, content, coalesce(r.strategy, f.strategy) AS strategy, coalesce(r.max_tokens, f.max_tokens) AS most, coalesce(r.overlap, f.overlap) AS lap
+               FROM segments AS s LEFT JOIN rules AS r ON r.doc_type = s.meta.doc_type, (SELECT * FROM rules WHERE doc_type = 'default') AS f WHERE content IS NOT NULL),
+    c AS (SELECT ord, most, lap, CASE strategy WHEN 'by_paragraph' THEN regexp_split_to_array(content, '\\n{WS_SQL}*\\n') WHEN 'by_slide' THEN string_split(content, chr(10) || '---' || chr(10))
+          WHEN 'split_on_sheets' THEN [content] WHEN 'blank_line' THEN string_split(content, chr(10) || chr(10)) ELSE string_split(content, chr(10)) END AS parts FROM s),
+    i AS (SELECT ord, most, lap, list_filter(list_transform(parts, lambda x: {_strip('x')}), lambda x: x <> '') AS items FROM c),
+    n AS (SELECT ord, most, lap, unnest(range(len(items)))::INT AS item_no, unnest(items) AS item FROM i)"""
+
+
+def _cut(at: str) -> str:
+    """Tokens of the piece that begins after `at`: up to the last line, sentence or clause end of its second half, else as many as may be."""
+    most = f"least(fresh, len(sp) - ({at}))"
+    last = lambda kind: f"list_max(list_filter(range(low, {most} + 1), lambda j: ends[({at}) + j] = {kind} OR ({kind} = 3 AND ({at}) + j = len(sp))))"
+    return f"coalesce({last(3)}, {last(2)}, {last(1)}, {most})"
+
+
 ORACLES = {
     "p1_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE text IS NOT NULL AND token_count IS DISTINCT FROM {_tokens('text')}",
     "p2_found": """
@@ -188,14 +203,15 @@ ORACLES = {
         WITH {_NEAR}, r AS (SELECT DISTINCT batch_id, chunk_id FROM chunks WHERE chunk_id IS NOT NULL),
         l AS (SELECT chunk_id_a AS x, chunk_id_b AS y FROM p UNION ALL SELECT chunk_id_b, chunk_id_a FROM p UNION ALL SELECT chunk_id, chunk_id FROM r)
         SELECT DISTINCT r.batch_id, r.chunk_id FROM r JOIN l ON l.x = r.chunk_id JOIN r AS q ON q.chunk_id = l.y AND q.batch_id < r.batch_id""",
-    "p6_found": f"""
-        WITH s AS (SELECT DISTINCT ord, content, coalesce(r.strategy, f.strategy) AS strategy, coalesce(r.max_tokens, f.max_tokens) AS most
-                   FROM segments AS s LEFT JOIN rules AS r ON r.doc_type = s.meta.doc_type, (SELECT * FROM rules WHERE doc_type = 'default') AS f WHERE content IS NOT NULL),
-        c AS (SELECT ord, most, CASE strategy WHEN 'by_paragraph' THEN regexp_split_to_array(content, '\\n{WS_SQL}*\\n') WHEN 'by_slide' THEN string_split(content, chr(10) || '---' || chr(10))
-              WHEN 'split_on_sheets' THEN [content] WHEN 'blank_line' THEN string_split(content, chr(10) || chr(10)) ELSE string_split(content, chr(10)) END AS parts FROM s),
-        i AS (SELECT ord, most, list_filter(list_transform(parts, lambda x: {_strip('x')}), lambda x: x <> '') AS items FROM c),
-        n AS (SELECT ord, most, unnest(range(len(items)))::INT AS item_no, unnest(items) AS item FROM i)
-        SELECT DISTINCT ord, item_no FROM n WHERE {_tokens('item')} > most""",
+    "p6_found": f"WITH {_ITEMS} SELECT DISTINCT ord, item_no FROM n WHERE {_tokens('item')} > most",
+    "p6_pieces": f"""
+        WITH RECURSIVE {_ITEMS}, o AS (SELECT row_number() OVER () AS k, ord, item_no, most - shared AS fresh, shared, sp, greatest(0, (most - shared) // 2 - 1) + 1 AS low,
+            list_transform(sp, lambda x: CASE WHEN contains(x, chr(10)) THEN 3 WHEN regexp_matches({_strip('x')}, '[.!?…؟。]["''”’»)]?$') THEN 2 WHEN regexp_matches({_strip('x')}, '[,;:–—]$') THEN 1 ELSE 0 END) AS ends
+            FROM (SELECT *, greatest(0, least(lap, most - 1)) AS shared, regexp_extract_all(item, '([^{WS_SQL[1:-1]}]+{WS_SQL}*)', 1) AS sp FROM (SELECT DISTINCT ord, item_no, item, most, lap FROM n WHERE {_tokens('item')} > most))),
+        p AS (SELECT k, 0 AS piece_no, 0::BIGINT AS a, 0::BIGINT AS n FROM o UNION ALL
+            SELECT p.k, piece_no + 1, a + p.n, {_cut('a + p.n')} FROM p JOIN o ON o.k = p.k WHERE a + p.n < len(sp))
+        SELECT ord, item_no, piece_no - 1 AS piece_no, {_strip("array_to_string(sp[a - least(shared, a) + 1:a + p.n], '')")} AS text, (p.n + least(shared, a))::INT AS tokens, least(shared, a)::INT AS overlap
+        FROM p JOIN o ON o.k = p.k WHERE piece_no > 0""",
     "p4_clusters": f"WITH {_classes(3, 3, 5, 8, 'batch_id, ')} SELECT m.batch_id, m.chunk_id, m.class_id, g.root AS cluster FROM m JOIN g ON g.node = m.class_id WHERE m.batch_id IS NOT NULL",
     "p7_groups": _groups(5, 4, 5, 5),
     "p7_members": _groups(3, 3, 5, 8),

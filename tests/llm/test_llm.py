@@ -350,6 +350,16 @@ def test_recall_is_reached(spark):
 
 def test_new_text_of_chunks(spark):
     assert email_new_text.aligned("b c d x d".split(), "a b c d".split()) == [1, 2, 3, -1, 3] and email_new_text.aligned([], ["a"]) == [] and email_new_text.aligned(["a"], []) == [-1]
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = [rng.choice("xyz") for _ in range(rng.randint(0, 12))], [rng.choice("xyzw") for _ in range(rng.randint(0, 9))]
+        at, i = email_new_text.aligned(b, a), 0
+        while i < len(b):
+            starts = [(max(n for n in range(len(b) - i + 1) if b[i : i + n] == a[p : p + n]), -p) for p in range(len(a))]
+            n, p = max(starts, default=(0, 0))
+            assert at[i : i + max(1, n)] == ([*range(-p, n - p)] if n else [-1])
+            i += n or 1
+    assert email_new_text.aligned(["a"] * 60_000, ["a"] * 50_000)[-1] == 9_999  # long repetitions stay linear
     mail = "Hello Tom,\n\nthe pump is ready for the test today.\n\nOn 1/2/2025 at 10:30, Tom wrote:\n> is the pump ready for\n> the test?\n\nRegards\nAnna Blum"
     meta = "struct<content_type:string,source_filepath:string>"
     seg = spark.createDataFrame([(1, mail, ("email", "in/a.eml")), (2, mail, ("email", "in/a.eml")), (3, "Other text here.", ("email", "in/a.eml")), (4, None, ("email", "in/b.eml"))], f"ord long, content string, meta {meta}")
