@@ -194,7 +194,7 @@ def chunk_stats_by_type(spark, d):
 
 @query(f"WITH {_merge_sql()} SELECT DISTINCT sha256({_strip('text')}) AS content_hash FROM chunked")
 def stream_ingest(spark, d):
-    """The contents that incremental ingestion has stored after all segments came, those of sf0.001's size in one delivery or in many."""
+    """The contents that incremental ingestion has stored after all segments came in two deliveries."""
     from .operators.rules import rules_frame
     from .shared import new_path, remove
     from .streaming.ingest import ingest
