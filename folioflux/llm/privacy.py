@@ -249,7 +249,7 @@ def canonical(kind: str, item: str) -> str:
     if kind == "id_number":
         return "".join(c for c in low if c.isalnum())
     words = [w for w in _RUN.findall(low)]
-    return " ".join(sorted(w for w in words if not _PARTICLE.match(w)) if kind == "name" else words)
+    return " ".join(sorted(w for w in words if len(w) == 1 or not _PARTICLE.match(w)) if kind == "name" else words)
 
 
 def _phone_digits(text: str) -> tuple[list[int], list[int]]:
